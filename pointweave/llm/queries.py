@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import exact_dedup, mixing
+from pointweave.llm import exact_dedup, langid, mixing, quality
 from pointweave.llm.common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(f):
     return f
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weights for all sources, as many copies as documents."""
@@ -51,3 +56,8 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
        sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))
 """
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
