@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import bpe, exact_dedup, langid, mixing, quality
+from pointweave.llm import bpe, exact_dedup, langid, mixing, quality, tokens
 from pointweave.llm.common import table
 
 #: The tokenizer files of the queries; the operators take any path.
@@ -75,3 +75,8 @@ from documents window w as (partition by coalesce(text, ''))
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read(spark, tokens.write(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), 2))
