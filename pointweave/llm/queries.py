@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import bpe, exact_dedup, langid, mixing, quality, tokens
+from pointweave.llm import bpe, exact_dedup, html, langid, mixing, quality, tokens, warc
 from pointweave.llm.common import table
 
 #: The tokenizer files of the queries; the operators take any path.
@@ -31,11 +31,37 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.write(warc.pages_as_captures(table(spark, sf_dir, "pages")))
+    return warc.read(spark, made, warc.merged(spark, made))
+
+
+ORACLES["op2_warc"] = f"""
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+    url, regexp_extract(coalesce(url, ''), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1) as host,
+    regexp_replace(coalesce(url, ''), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*', '') as rest from pages),
+k as (select *, array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' ||
+    regexp_extract(rest, '^[^#]*', 0) as url_key,
+    max(page_id) over (partition by payload_digest) as last from p)
+select page_id, payload_bytes, payload_digest,
+    case when payload_bytes >= {warc.MIN_REVISIT} and page_id <> last then 'revisit' else 'response' end as record_type,
+    case when payload_bytes >= {warc.MIN_REVISIT} and page_id <> last then last end as refers_to,
+    url_key, row_number() over (order by url_key, page_id) - 1 as position
+from k
+"""
+
+
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weights for all sources, as many copies as documents."""
