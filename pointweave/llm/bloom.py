@@ -47,8 +47,8 @@ def _get(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def repeated_filter(df: DataFrame, column: str, rows: int, max_bits: int = MAX_BITS) -> tuple[np.ndarray, int]:
-    """(bitmap, bits): a filter that holds every non-null value of the long column which df has more than once."""
+def repeated_filter(df: DataFrame, column: str, rows: int, max_bits: int = MAX_BITS, least: int = 2) -> tuple[np.ndarray, int]:
+    """(bitmap, bits): a filter that holds every non-null value of the long column which df has more than once (or at all, for least 1)."""
     spark = session(df)
     ship(spark)
     bits = filter_bits(rows, max_bits)
@@ -99,7 +99,7 @@ def repeated_filter(df: DataFrame, column: str, rows: int, max_bits: int = MAX_B
                 _set(twice, at[old])
                 _set(twice, np.frombuffer(a, np.uint32))
                 _set(seen, at)
-        for s, plane in again.items():
+        for s, plane in (again if least > 1 else met).items():
             if plane.any():
                 yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([plane.tobytes()], pa.binary())], ["segment", "plane"])
 
