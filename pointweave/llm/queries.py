@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import bpe, exact_dedup, html, jaccard, langid, mixing, quality, tokens, warc
+from pointweave.llm import bpe, exact_dedup, html, jaccard, langid, media, mixing, quality, tokens, warc
 from pointweave.llm.common import table
 
 #: The tokenizer files of the queries; the operators take any path.
@@ -98,6 +98,11 @@ from documents window w as (partition by coalesce(text, ''))
 """
 
 
+@query
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
