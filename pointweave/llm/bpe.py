@@ -32,8 +32,10 @@ from pointweave.llm.common import session, ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The most pieces kept in a worker, and the longest piece that is kept.
 CACHE_PIECES, CACHE_LENGTH = 400_000, 48
-#: Tokens decoded at once.
-DECODE_STEP = 1 << 16
+#: Tokens decoded at once, and characters of a text split into pieces at once.
+DECODE_STEP, LONG = 1 << 16, 1 << 20
+
+_CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
 
 def byte_chars() -> dict[str, int]:
@@ -158,20 +160,32 @@ class Tables:
 
 
 class Pieces(dict):
-    """The ids of pieces of text, encoded on first sight; bounded."""
+    """The ids of pieces of text, encoded on first sight. When it is full, its pieces become the old ones, from which
+    those still in use move back."""
 
     def __init__(self, tables: Tables):
-        self.tables = tables
+        self.tables, self.old = tables, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.tables.encode_piece(piece.encode())
+        if (ids := self.old.get(piece)) is None:
+            ids = self.tables.encode_piece(piece.encode())
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
+def parts(text: str):
+    """A long text in parts of bounded length, cut before single spaces, where pieces and words end anyway."""
+    at = 0
+    while len(text) - at > LONG and (m := _CUT.search(text, at + LONG)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def narrow(pattern: str) -> str:
     """The pattern for texts of code points below U+0300, its classes spelt out for the faster engine of the standard library."""
     import regex
@@ -222,13 +236,13 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if self.special is None or not any(p in text for p in self.probe):
-            return b"".join(map(self.pieces.__getitem__, self.split(text)))
+            return b"".join(b"".join(map(self.pieces.__getitem__, self.split(part))) for part in parts(text))
         out = []
         for part in self.special.split(text):
             if part in self.tables.added:
                 out.append(self.tables.added[part].to_bytes(4, "little"))
             elif part:
-                out.extend(map(self.pieces.__getitem__, self.split(part)))
+                out.extend(b"".join(map(self.pieces.__getitem__, self.split(p))) for p in parts(part))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

@@ -17,10 +17,12 @@ task's success, so lost executors and repeated tasks do no harm.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
 import zlib
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointweave.llm.bpe import LONG, narrow, parts
 from pointweave.llm.common import filesystem, sampled, session, shared_uri, ship
 
 MAGIC = b"TKZ1"
@@ -35,18 +38,34 @@ HEADER, FOOTER = "<4s32sB", "<QQQ4s"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u8")])
 #: About so many documents train the dictionary; the dictionary's size; compression level.
 SAMPLE_ROWS, DICTIONARY_BYTES, LEVEL = 2_000, 1 << 16, 3
-#: The most words kept in a worker, and the longest that is kept.
-CACHE_WORDS, CACHE_LENGTH = 500_000, 48
+#: The most pieces in each of a worker's two generations, the longest that is kept, and texts looked at together.
+CACHE_PIECES, CACHE_LENGTH, TOGETHER = 400_000, 48, 256
 #: Bytes written or read at once.
 STEP = 1 << 22
 
 _WORDS = re.compile(r"[^ \t\n\r]+").findall
+_RARE = re.compile("[^\x00-\u012f]")
 
 
-class Words(dict):
-    """The ids (little-endian unsigned 32-bit) of runs of text between white space, from the tokenizers library; bounded.
+class Seen(dict):
+    """Notes the pieces that it is asked for and lacks, each once."""
 
-    For tokenizers that drop white space, as the word vocabularies do, a text's ids are those of its runs in order."""
+    def __init__(self):
+        self.missing: list[str] = []
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = b""
+        self.missing.append(piece)
+        return b""
+
+
+class Encoder:
+    """Ids (little-endian unsigned 32-bit) of texts by the tokenizers library, which sees each piece of text once.
+
+    For tokenizers that drop white space, a text's ids are those of its words in order. Where the file also splits by a
+    pattern after lower-casing, and the text has only characters that lower-case singly and none that composes, the
+    pattern's pieces stand for words; they are fewer. All others are encoded whole. Pieces are kept in two generations:
+    when the young one is full it becomes the old one, from which pieces still in use move back."""
 
     def __init__(self, tokenizer_json: str):
         import os
@@ -57,42 +76,89 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.loads(tokenizer_json)
+        added = spec["added_tokens"]
+        self.probes = [t["content"][:2] for t in added]
+        self.separator = next(((t["content"], t["id"]) for t in added if t["special"] and not t["normalized"] and not t["single_word"]), None)
         self.whole = not self._drops_space()
+        self.find = None if self.whole else self._pattern(spec)
+        self.young = Seen()
+        self.old: dict[str, bytes] = {}
 
     def _drops_space(self) -> bool:
         ids = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
         return ids(" a\tb\n") == ids("a") + ids("b") and ids(" \r\n\t") == []
 
+    @staticmethod
+    def _pattern(spec: dict):
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        if steps != ["NFC", "Replace", "Lowercase"] or split.get("type") != "Split" or not split.get("invert") or split.get("behavior") != "Removed":
+            return None
+        return re.compile(narrow(re.sub(r"\[(\\p\{[LN]\})\]", r"\1", split["pattern"]["Regex"]))).findall
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; many go through the library as one text, with a special token between them."""
+        if self.separator is None or any(p in s for s in pieces for p in self.probes):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        text, mark = self.separator
+        ids = np.array(self.tokenizer.encode(text.join(pieces), add_special_tokens=False).ids, "<u4")
+        ends = np.r_[np.flatnonzero(ids == mark), len(ids)].tolist()
+        data, start, out = ids.tobytes(), 0, []
+        for end in ends:
+            out.append(data[4 * start : 4 * end])
+            start = end + 1
+        return out
+
+    def _split(self, text: str) -> list[str]:
+        if self.find is None or any(p in text for p in self.probes) or _RARE.search(text):
+            return _WORDS(text)
+        return self.find(text.lower())
+
+    def _known(self, lists: list[list[str]]) -> list[bytes]:
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = Seen(), dict(self.young)
+        young = self.young
+        for pieces in lists:
+            deque(map(young.__getitem__, pieces), 0)
+        new = []
+        for p in young.missing:
+            if (ids := self.old.get(p)) is not None:
+                young[p] = ids
+            else:
+                new.append(p)
+        young.missing = []
+        for i in range(0, len(new), 512):
+            some = new[i : i + 512]
+            young.update(zip(some, self._encode(some)))
+        out = [b"".join(map(young.__getitem__, pieces)) for pieces in lists]
+        for p in new:
+            if len(p) > CACHE_LENGTH:
+                del young[p]
+        return out
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         if self.whole:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        out = []
-        for t in texts:
-            words = _WORDS(t or "")
-            try:
-                out.append(b"".join(map(self.__getitem__, words)))
-            except KeyError:
-                if len(self) > CACHE_WORDS:
-                    self.clear()
-                new = list({w for w in words if w not in self})
-                found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
-                short = {w: i for w, i in found.items() if len(w) <= CACHE_LENGTH}
-                self.update(short)
-                if len(short) == len(found):
-                    out.append(b"".join(map(self.__getitem__, words)))
-                else:
-                    out.append(b"".join([found[w] if w in found else self[w] for w in words]))
+        out: list[bytes] = []
+        for i in range(0, len(texts), TOGETHER):
+            group = [t or "" for t in texts[i : i + TOGETHER]]
+            if max(map(len, group)) <= LONG:
+                out += self._known([self._split(t) for t in group])
+            else:
+                out += [b"".join(self._known([self._split(part)])[0] for part in parts(t)) for t in group]
         return out
 
 
-_words: dict[str, Words] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def words(tokenizer_json: str) -> Words:
+def encoder(tokenizer_json: str) -> Encoder:
+    """The encoder of a tokenizer file's text, made once for each process."""
     key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
-    if key not in _words:
-        _words[key] = Words(tokenizer_json)
-    return _words[key]
+    if key not in _encoders:
+        _encoders[key] = Encoder(tokenizer_json)
+    return _encoders[key]
 
 
 @dataclass
@@ -112,7 +178,7 @@ def train_dictionary(docs: DataFrame, tokenizer_json: str, end_id: int, width: i
     """A dictionary from a bounded sample; empty if there is too little to learn from."""
     import zstandard
 
-    w = words(tokenizer_json)
+    w = encoder(tokenizer_json)
     rows = sampled(docs.select("doc_id", "text"), "doc_id", SAMPLE_ROWS, 13)
     samples = [_serial(w.ids([r.text])[0] + struct.pack("<I", end_id), width) for r in rows.toLocalIterator()]
     try:
@@ -126,7 +192,7 @@ def write(docs: DataFrame, path: str, end_id: int, uri: str | None = None) -> Ma
     spark = session(docs)
     ship(spark)
     tokenizer_json = open(path, encoding="utf-8").read()
-    width = 2 if max(words(tokenizer_json).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    width = 2 if max(encoder(tokenizer_json).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     uri = uri or shared_uri(spark, "token-files")
     fs, folder = filesystem(uri)
     fs.create_dir(folder, recursive=True)
@@ -143,8 +209,11 @@ def write(docs: DataFrame, path: str, end_id: int, uri: str | None = None) -> Ma
         from pointweave.llm import tokens
 
         tokenizer, zdict = held.value
-        w = tokens.words(tokenizer)
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(zdict) if zdict else None)
+        w = tokens.encoder(tokenizer)
+        shared = zstandard.ZstdCompressionDict(zdict) if zdict else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         name, store, at = f"{uuid.uuid4().hex}.tkz", None, 0
         index: list[np.ndarray] = []
         total = 0
@@ -160,8 +229,8 @@ def write(docs: DataFrame, path: str, end_id: int, uri: str | None = None) -> Ma
             part["null"] = ids.is_null().to_numpy(zero_copy_only=False)
             part["doc_id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
             held_back: list[bytes] = []
-            for i in range(0, b.num_rows, 256):
-                for k, got in enumerate(w.ids(texts.slice(i, 256).to_pylist()), i):
+            for i in range(0, b.num_rows, TOGETHER):
+                for k, got in enumerate(w.ids(texts.slice(i, TOGETHER).to_pylist()), i):
                     frame = packer.compress(_serial(got + end, width))
                     n = len(got) // 4 + 1
                     part["offset"][k], part["length"][k], part["n"][k] = at, len(frame), n
