@@ -396,3 +396,25 @@ def link(docs: DataFrame) -> DataFrame:
     resolved = join_groups(of.select("key", "size", "component"), heads, ["component"], "_members", total).select("key", "size", "component_id")
     joined = join_groups(some.select("doc_id", "n", "key"), resolved, ["key"], "size", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of every component the document with the smallest doc_id. All columns are kept.
+
+    Rows whose doc_id a Bloom filter of the dropped ones lacks pass straight through; the others meet the exact list."""
+    spark = session(docs)
+    found = written(link(docs), "components")
+    dropped = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_dropped"))
+    bitmap, bits = repeated_filter(dropped.select(F.xxhash64("_dropped").alias("h")), "h", dropped.count(), least=1)
+    held = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def maybe(h):
+        import pandas as pd
+
+        return pd.Series(maybe_repeated(h.to_numpy(), held.value, bits))
+
+    tested = docs.withColumn("_maybe", maybe(F.xxhash64(F.col("doc_id").cast("long"))))
+    straight = tested.where(~F.col("_maybe")).select(*docs.columns)
+    unsure = tested.where("_maybe").join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
+    return straight.unionByName(unsure.select(*docs.columns))

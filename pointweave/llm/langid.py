@@ -176,3 +176,9 @@ def predict(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row, learnt from the rows that are not held out."""
     model = train(docs.where(~held_out(docs)))
     return identify(docs, model, ["doc_id"]).select("doc_id", held_out(docs).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs whose language is known with at least that probability, with their own columns."""
+    out = identify(docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns}).withColumn("text", F.col("d_text")), model, [f"d_{c}" for c in docs.columns])
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(F.col(f"d_{c}").alias(c) for c in docs.columns))
