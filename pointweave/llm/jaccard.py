@@ -12,11 +12,14 @@ allocations is used, whichever a bounded sample of the sets shows to cost less:
 Empty parts would agree for no reason, so they give no signature; m has slack for them, and the few sets with more empty
 parts than the slack allows also give signatures for these, which meet only among such sets. So no pair is lost.
 
-Equal sets are one class and take part once. Signatures are dealt by their leading bits; where one is shared by several
-classes, the class with the least key is paired with each other one, and every pair is verified on the full sets. That
-settles all pairs of a signature with two classes. Signatures with more are looked at again once components are known:
-their pairs across different components, all of them, are verified too. Pairs inside a component need no look, as they
-cannot change it. The result is the exact set of components without all pairs of any group.
+Equal sets are one class and take part once. Signatures are dealt by their leading bits. Similar classes share not just
+one signature: at least m - H (or m - H / 2) less the empty parts. So where a signature has up to FEW classes all its
+pairs are counted, and only pairs with counts that reach this bound are verified on the full sets. Signatures with more
+classes are not paired; each class is told how many of these it has, which is added to its pairs' bounds, and only
+classes for which they alone can reach the bound are looked at in them: the least and the greatest key of each are
+paired with every other one, verified, and once components are known, pairs across components that share enough of
+these signatures are verified too. Pairs inside a component need no look, as they cannot change it. The result is the
+exact set of components without all pairs of any group.
 
 A text's words, shingles and edge cases: A-Z count as a-z; words are runs of bytes other than space and \\x09-\\x0D; fewer
 than five words are one shingle; null, empty and blank texts have no shingle, are linked with nothing and keep their own
@@ -40,7 +43,9 @@ WORDS = 5
 #: Sets taken at most (about) to choose each band's allocation, and a candidate pair's cost in signatures.
 SAMPLE_SETS, PAIR_COST = 3_000, 64
 #: Signatures aimed at in a bucket, and held back on the map side at once.
-BUCKET_ROWS, FLUSH = 100_000, 2_000_000
+BUCKET_ROWS, FLUSH = 100_000, 1_000_000
+#: Signatures with more classes are not paired.
+FEW = 8
 
 _U = np.uint64
 _C = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -114,8 +119,16 @@ def segments(j: int, deletion: bool) -> int:
     return h + 1 + max(1, int(0.1 * h + 0.6 * h**0.5))
 
 
+def empty_parts(t: np.ndarray, j: int, deletion: bool) -> int:
+    """How many segments of band j's scheme have no shingle of a set, or, with deletions, at most one."""
+    m = segments(j, deletion)
+    segment = ((t >> _U(32)) * _U(m)) >> _U(32)
+    first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+    return m - (int((np.diff(np.r_[first, len(t)]) > 1).sum()) if deletion else len(first))
+
+
 def signatures(t: np.ndarray, j: int, deletion: bool) -> np.ndarray:
-    """The signatures of a set in the scheme of band j."""
+    """The signatures of a set in the scheme of band j, which their last six bits name."""
     n, m = len(t), segments(j, deletion)
     h = min(reach(n), reach(_EDGES[j + 1] - 1))
     value = mix(t ^ _KV)
@@ -139,7 +152,7 @@ def signatures(t: np.ndarray, j: int, deletion: bool) -> np.ndarray:
         lone = np.ones(m, bool)
         lone[ids[size > 1] if deletion else ids] = False
         out.append(mix(np.flatnonzero(lone).astype(_U) * _KS + scheme))
-    return np.concatenate(out)
+    return np.concatenate(out) & ~_U(63) | _U(j)
 
 
 def allocate(sample: list[np.ndarray], total: int) -> dict[int, bool]:
@@ -162,22 +175,23 @@ def allocate(sample: list[np.ndarray], total: int) -> dict[int, bool]:
 # --- stages ---------------------------------------------------------------------------------------------------------
 
 
-def _slim(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key, check of every document."""
+def _slim(docs: DataFrame, plan: dict[int, bool]) -> DataFrame:
+    """doc_id, n, key, check, band, and the empty parts e0 and e1 in the schemes of that band and of the one below."""
 
     def run(batches):
         from pointweave.llm import jaccard
 
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            n, k1, k2 = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            found = np.zeros((6, len(texts)), np.int64)
             for i, t in jaccard.sets(texts):
-                n[i] = len(t)
                 if len(t):
-                    k1[i], k2[i] = jaccard.set_keys(t)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(k1), pa.array(k2)], ["doc_id", "n", "key", "check"])
+                    js = jaccard.schemes(len(t))
+                    e = [jaccard.empty_parts(t, j, plan.get(j, False)) for j in js]
+                    found[:, i] = (len(t), *jaccard.set_keys(t), js[0] if js else -1, *(e + [0, 0])[:2])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, found)], ["doc_id", "n", "key", "check", "band", "e0", "e1"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, check long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, check long, band long, e0 long, e1 long")
 
 
 def _sampled_sets(docs: DataFrame, rows: int) -> list[np.ndarray]:
@@ -239,11 +253,35 @@ def _signed(docs: DataFrame, plan: dict[int, bool], buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket long, sigs binary, keys binary")
 
 
+def _count_pairs(s: np.ndarray, k: np.ndarray):
+    """Of the signatures s with classes k, sorted: rows (a, b, scheme, signatures shared) of those with FEW classes at
+    most, and rows (signature, class, scheme) of the others."""
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    size = np.diff(np.r_[first, len(s)])
+    pairs = []
+    for n in range(2, FEW + 1):
+        at = first[size == n]
+        for x in range(n - 1):
+            for y in range(x + 1, n):
+                pairs.append(np.stack([k[at + x], k[at + y], (s[at] & _U(63)).astype(np.int64)]))
+    pairs = np.concatenate(pairs, 1)
+    by = np.lexsort(pairs)
+    pairs = pairs[:, by]
+    if pairs.shape[1]:
+        fresh = np.flatnonzero(np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(0)])
+        pairs = np.concatenate([pairs[:, fresh], np.diff(np.r_[fresh, pairs.shape[1]])[None]])
+    else:
+        pairs = np.zeros((4, 0), np.int64)
+    many = np.repeat(size, size) > FEW
+    return pairs, np.stack([mix(s[many]).view(np.int64), k[many], (s[many] & _U(63)).astype(np.int64)])
+
+
 def _met(signed: DataFrame, parts: int) -> DataFrame:
-    """Of every signature with several classes: (a, b) from the least key to each other, and for three or more classes
-    once each distinct (grp, a), a row for each member, with b null."""
+    """For pairs: a, b, scheme, shared (to be summed), grp null. For signatures with more than FEW classes: grp, a, scheme, b null."""
 
     def run(batches):
+        from pointweave.llm import jaccard
+
         def done():
             raw = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, 6)
             s = np.zeros((len(raw), 8), np.uint8)
@@ -253,44 +291,42 @@ def _met(signed: DataFrame, parts: int) -> DataFrame:
             by = np.lexsort((k, s))
             s, k = s[by], k[by]
             fresh = np.r_[True, (s[1:] != s[:-1]) | (k[1:] != k[:-1])]
-            s, k = s[fresh], k[fresh]
-            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            size = np.diff(np.r_[first, len(s)])
-            many = np.repeat(size, size) > 1
-            lead = np.repeat(k[first], size)
-            other = many & (np.repeat(first, size) != np.arange(len(s)))
-            pairs = np.unique(np.stack([lead[other], k[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-            big = np.flatnonzero(size > 2)
-            groups: dict[int, np.ndarray] = {}
-            for g in big.tolist():
-                members = k[first[g] : first[g] + size[g]]
-                groups[int(mix(np.array([np.sum(mix(members.view(_U)), dtype=_U)], _U)).view(np.int64)[0])] = members
-            return pairs, groups
-
-        def out(pairs, groups):
-            grp = [np.full(len(pairs), 0, np.int64), *(np.full(len(m), g, np.int64) for g, m in groups.items())]
-            a = np.concatenate([pairs[:, 0], *groups.values()])
-            members = len(a) - len(pairs)
-            b = pa.array(np.r_[pairs[:, 1], np.zeros(members, np.int64)], mask=np.r_[np.zeros(len(pairs), bool), np.ones(members, bool)])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grp)), pa.array(a), b], ["grp", "a", "b"])
+            return jaccard._count_pairs(s[fresh], k[fresh])
+
+        def out(bucket, pairs, hot):
+            p, h = pairs.shape[1], hot.shape[1]
+            of_pair, of_hot = np.r_[np.ones(p, bool), np.zeros(h, bool)], np.r_[np.zeros(p, bool), np.ones(h, bool)]
+            grp = mix((hot[0] ^ np.int64(bucket)).view(_U)).view(np.int64)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[np.zeros(p, np.int64), grp], mask=of_pair), pa.array(np.r_[pairs[0], hot[1]]), pa.array(np.r_[pairs[1], np.zeros(h, np.int64)], mask=of_hot),
+                    pa.array(np.r_[pairs[2], hot[2]]), pa.array(np.r_[pairs[3], np.ones(h, np.int64)]),
+                ],
+                ["grp", "a", "b", "scheme", "shared"],
+            )
 
         now, sigs, keys = None, [], []
         for batch in batches:
             for bucket, s, k in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "keys"))):
                 if bucket != now and sigs:
-                    pairs, groups = done()
-                    if len(pairs):
-                        yield out(pairs, groups)
+                    yield out(now, *done())
                     sigs, keys = [], []
                 now = bucket
                 sigs.append(s)
                 keys.append(k)
         if sigs:
-            pairs, groups = done()
-            if len(pairs):
-                yield out(pairs, groups)
+            yield out(now, *done())
+
+    return signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "grp long, a long, b long, scheme long, shared long")
+
 
-    return signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "grp long, a long, b long")
+def _bound(plan: dict[int, bool], scheme, sizes_sum, empty):
+    """The fewest signatures that two similar sets of that scheme share, at least one."""
+    top = max(max(plan, default=0) + 2, 1)
+    m = F.array(*(F.lit(segments(j, plan.get(j, False))) for j in range(top)))
+    part = F.array(*(F.lit(2 if plan.get(j, False) else 1) for j in range(top)))
+    at = F.least(scheme, F.lit(top - 1)).cast("int")
+    return F.greatest(F.lit(1), F.get(m, at) - F.floor(F.floor(sizes_sum / 7) / F.get(part, at)) - empty)
 
 
 def _tokens(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
@@ -325,12 +361,11 @@ def _tokens(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs of class keys (a, b) whose full sets are similar."""
-    sizes = classes.select("key", "n", "first")
-    sized = pairs.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col("key").alias("b"), F.col("n").alias("_nb")), "b")
-    pairs = written(sized.where("4 * least(_na, _nb) >= 3 * greatest(_na, _nb)").select("a", "b"), "pairs")
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    sizes = classes.select("key", "first")
     active = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sizes, "key").select(F.col("first").alias("doc_id"))
     active = written(active, "active")
-    found = _tokens(docs, active, active.count()).join(classes.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"]).select("key", "tokens").dropDuplicates(["key"])
+    found = _tokens(docs, active, active.count()).join(sizes.withColumnRenamed("first", "doc_id"), ["key", "doc_id"]).select("key", "tokens").dropDuplicates(["key"])
 
     def verify(batches):
         for b in batches:
@@ -353,42 +388,83 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return written(whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
 
 
-def _crossing(met: DataFrame, comps: DataFrame) -> DataFrame:
-    """All pairs across components within the groups of three or more classes that share a signature."""
-    members = met.where("b is null").select("grp", F.col("a").alias("key")).distinct()
-    labelled = members.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").select("grp", "key", F.coalesce("component", "key").alias("component"))
+def _similar_sizes(x: str, y: str):
+    return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
+
+
+def _sides(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """pairs with the columns of info for a (with suffix _a) and for b, of similar sizes and in the smaller one's scheme."""
+    for side in ("a", "b"):
+        pairs = pairs.join(info.select(*(F.col(c).alias(f"{c}_{side}" if c != "key" else side) for c in info.columns)), side)
+    own = F.when(F.col("n_a") <= F.col("n_b"), F.col("band_a")).otherwise(F.col("band_b"))
+    return pairs.where(_similar_sizes("n_a", "n_b") & (F.col("scheme") == own))
+
+
+def _at(name: str, side: str):
+    """That side's value in the pair's scheme: of its own band or of the one below."""
+    return F.when(F.col(f"band_{side}") == F.col("scheme"), F.col(f"{name}0_{side}")).otherwise(F.col(f"{name}1_{side}"))
+
+
+def _pair_bound(plan: dict[int, bool]):
+    return _bound(plan, F.col("scheme"), F.col("n_a") + F.col("n_b"), F.least(_at("e", "a"), _at("e", "b")))
+
+
+def _crossing(hot: DataFrame, comps: DataFrame, info: DataFrame, plan: dict[int, bool]) -> DataFrame:
+    """Pairs across components that share enough of the signatures in hot."""
+    labelled = hot.join(comps.select(F.col("node").alias("a"), "component"), "a", "left").select("grp", "a", "scheme", F.coalesce("component", "a").alias("component"))
     mixed = labelled.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
     left = labelled.join(mixed, "grp")
-    right = left.select("grp", F.col("key").alias("key2"), F.col("component").alias("component2"))
-    return left.join(right, "grp").where("key < key2 and component <> component2").select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
+    right = left.select("grp", F.col("a").alias("b"), F.col("component").alias("_other"))
+    pairs = left.join(right, "grp").where("a < b and component <> _other").groupBy("a", "b", "scheme").agg(F.count(F.lit(1)).alias("shared"))
+    return _sides(pairs, info).where(F.col("shared") >= _pair_bound(plan)).select("a", "b")
 
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark = session(docs)
     ship(spark)
-    slim = written(_slim(docs), "shingle-sets")
-    stats = slim.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
-    rows, n = stats.rows, stats.n or 0
+    rows = docs.count()
+    plan = allocate(_sampled_sets(docs, rows), rows)
+    slim = written(_slim(docs, plan), "shingle-sets")
+    n = slim.agg(F.sum("n")).first()[0] or 0
     some = slim.where("n > 0")
-    classes = some.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+    least = lambda *names: [F.min(c).alias(c) for c in names]
+    classes = some.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.min("check").alias("c1"), F.max("check").alias("c2"), *least("n", "band", "e0", "e1"))
     classes = written(classes, "classes")
     if classes.where("c1 <> c2").limit(1).count():
         raise RuntimeError("two different sets have one key: change the constants of set_keys")
-    plan = allocate(_sampled_sets(docs, rows), rows)
     buckets = 64
     while buckets * BUCKET_ROWS < n and buckets < 1 << 16:
         buckets *= 2
     parts = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = written(_met(_signed(docs, plan, buckets), parts), "met")
-    pairs = met.where("b is not null").select("a", "b").distinct()
-    links = _links(pairs, docs, classes)
+
+    # how many signatures with many classes each class has, in its two schemes
+    hot = met.where("grp is not null").select("grp", "a", "scheme")
+    counts = hot.groupBy(F.col("a").alias("key"), "scheme").agg(F.count(F.lit(1)).alias("_c")).join(classes.select("key", "band"), "key")
+    counts = counts.groupBy("key").agg(*(F.coalesce(F.max(F.when(F.col("scheme") == F.col("band") - below, F.col("_c"))), F.lit(0)).alias(f"h{below}") for below in (0, 1)))
+    info = classes.select("key", "n", "band", "e0", "e1").join(counts, "key", "left").na.fill(0, ["h0", "h1"])
+    info = written(info, "class-info")
+
+    # pairs that share signatures of few classes
+    pairs = met.where("b is not null").groupBy("a", "b", "scheme").agg(F.sum("shared").alias("shared"))
+    pairs = _sides(pairs, info).where(F.col("shared") + F.least(_at("h", "a"), _at("h", "b")) >= _pair_bound(plan)).select("a", "b")
+
+    # classes that may have partners only in signatures of many classes
+    partner = F.least(F.col("n") + F.floor(F.col("n") * 4 / 3), F.get(F.array(*(F.lit(_EDGES[j + 1] - 1 + 4 * (_EDGES[j + 1] - 1) // 3) for j in range(len(_EDGES) - 1))), F.col("scheme").cast("int")))
+    heavy = [info.where(f"h{below} > 0").withColumn("scheme", F.col("band") - below).where(F.col(f"h{below}") >= _bound(plan, F.col("scheme"), partner, F.col(f"e{below}"))).select(F.col("key").alias("a"), "scheme") for below in (0, 1)]
+    hot = written(hot.join(heavy[0].unionByName(heavy[1]), ["a", "scheme"], "left_semi"), "hot")
+    ends = hot.groupBy("grp").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
+    stars = hot.join(ends, "grp").select("scheme", F.col("a").alias("_x"), F.explode(F.array("lo", "hi")).alias("_y")).where("_x <> _y")
+    stars = stars.select("scheme", F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+    links = _links(pairs.unionByName(_sides(stars, info).select("a", "b")), docs, classes)
     comps = components(links)
-    crossing = written(_crossing(met, comps), "crossing")
+    crossing = written(_crossing(hot, comps, info, plan), "crossing")
     if crossing.limit(1).count():
         more = _links(crossing, docs, classes)
         if more.limit(1).count():
             comps = components(links.unionByName(more))
+
     comps = comps.select(F.col("node").alias("key"), "component")
     of = classes.join(comps, "key", "left").select("key", "first", "size", F.coalesce("component", "key").alias("component"))
     heads = of.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("_members"))
