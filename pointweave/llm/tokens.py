@@ -20,9 +20,10 @@ import hashlib
 import json
 import re
 import struct
+import sys
 import uuid
 import zlib
-from collections import deque
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm.bpe import LONG, narrow, parts
+from pointweave.llm.bpe import LONG, byte_chars, narrow, parts
 from pointweave.llm.common import filesystem, sampled, session, shared_uri, ship
 
 MAGIC = b"TKZ1"
@@ -47,25 +48,29 @@ _WORDS = re.compile(r"[^ \t\n\r]+").findall
 _RARE = re.compile("[^\x00-\u012f]")
 
 
-class Seen(dict):
-    """Notes the pieces that it is asked for and lacks, each once."""
+class Pieces(dict):
+    """The ids of pieces, encoded on first sight. A full one's pieces become the old ones, from which those still in use move back."""
 
-    def __init__(self):
-        self.missing: list[str] = []
+    def __init__(self, encode):
+        self.encode, self.old = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = b""
-        self.missing.append(piece)
-        return b""
+        if (ids := self.old.get(piece)) is None:
+            ids = self.encode(piece)
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
     """Ids (little-endian unsigned 32-bit) of texts by the tokenizers library, which sees each piece of text once.
 
-    For tokenizers that drop white space, a text's ids are those of its words in order. Where the file also splits by a
-    pattern after lower-casing, and the text has only characters that lower-case singly and none that composes, the
-    pattern's pieces stand for words; they are fewer. All others are encoded whole. Pieces are kept in two generations:
-    when the young one is full it becomes the old one, from which pieces still in use move back."""
+    For tokenizers that drop white space, a text's ids are those of its words in order. Where the file also lower-cases,
+    splits by a pattern and maps bytes to characters, and the text has only characters that lower-case singly and none
+    that composes, the pattern's pieces stand for words: they are fewer, and the library's model takes them directly."""
 
     def __init__(self, tokenizer_json: str):
         import os
@@ -77,13 +82,15 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         spec = json.loads(tokenizer_json)
-        added = spec["added_tokens"]
-        self.probes = [t["content"][:2] for t in added]
-        self.separator = next(((t["content"], t["id"]) for t in added if t["special"] and not t["normalized"] and not t["single_word"]), None)
+        self.probes = [t["content"][:2] for t in spec["added_tokens"]]
         self.whole = not self._drops_space()
         self.find = None if self.whole else self._pattern(spec)
-        self.young = Seen()
-        self.old: dict[str, bytes] = {}
+        self.words = Pieces(self._word)
+        model, table = self.tokenizer.model, {b: ord(c) for c, b in byte_chars().items()}
+        self.pieces = Pieces(lambda p: array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(table))]).tobytes())
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _drops_space(self) -> bool:
         ids = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
@@ -92,62 +99,22 @@ class Encoder:
     @staticmethod
     def _pattern(spec: dict):
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        split = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        split, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         if steps != ["NFC", "Replace", "Lowercase"] or split.get("type") != "Split" or not split.get("invert") or split.get("behavior") != "Removed":
             return None
+        if [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest if r["type"] == "ByteLevel"] != [("ByteLevel", False, False)] or len(rest) != 1 or sys.byteorder != "little":
+            return None
         return re.compile(narrow(re.sub(r"\[(\\p\{[LN]\})\]", r"\1", split["pattern"]["Regex"]))).findall
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece; many go through the library as one text, with a special token between them."""
-        if self.separator is None or any(p in s for s in pieces for p in self.probes):
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        text, mark = self.separator
-        ids = np.array(self.tokenizer.encode(text.join(pieces), add_special_tokens=False).ids, "<u4")
-        ends = np.r_[np.flatnonzero(ids == mark), len(ids)].tolist()
-        data, start, out = ids.tobytes(), 0, []
-        for end in ends:
-            out.append(data[4 * start : 4 * end])
-            start = end + 1
-        return out
-
-    def _split(self, text: str) -> list[str]:
+    def _ids(self, text: str) -> bytes:
+        if self.whole:
+            return self._word(text)
         if self.find is None or any(p in text for p in self.probes) or _RARE.search(text):
-            return _WORDS(text)
-        return self.find(text.lower())
-
-    def _known(self, lists: list[list[str]]) -> list[bytes]:
-        if len(self.young) > CACHE_PIECES:
-            self.young, self.old = Seen(), dict(self.young)
-        young = self.young
-        for pieces in lists:
-            deque(map(young.__getitem__, pieces), 0)
-        new = []
-        for p in young.missing:
-            if (ids := self.old.get(p)) is not None:
-                young[p] = ids
-            else:
-                new.append(p)
-        young.missing = []
-        for i in range(0, len(new), 512):
-            some = new[i : i + 512]
-            young.update(zip(some, self._encode(some)))
-        out = [b"".join(map(young.__getitem__, pieces)) for pieces in lists]
-        for p in new:
-            if len(p) > CACHE_LENGTH:
-                del young[p]
-        return out
+            return b"".join(map(self.words.__getitem__, _WORDS(text)))
+        return b"".join(map(self.pieces.__getitem__, self.find(text.lower())))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if self.whole:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        out: list[bytes] = []
-        for i in range(0, len(texts), TOGETHER):
-            group = [t or "" for t in texts[i : i + TOGETHER]]
-            if max(map(len, group)) <= LONG:
-                out += self._known([self._split(t) for t in group])
-            else:
-                out += [b"".join(self._known([self._split(part)])[0] for part in parts(t)) for t in group]
-        return out
+        return [b"".join(map(self._ids, parts(t))) if t and len(t) > LONG and not self.whole else self._ids(t or "") for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
