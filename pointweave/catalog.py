@@ -1,6 +1,509 @@
-"""Registry of the engine's own queries and of the DuckDB SQL that gives the same rows."""
+"""The engine's own queries over the driver tables, each with DuckDB SQL that gives the same rows.
+
+Queries apply an operator to graphs and programs derived from the tables (see sources.tables); ids come out as bigint
+or text, sets as one row an element.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointweave.functions import lowering
+from pointweave.functions.context import POLICIES, CallString, NoContext, label
+from pointweave.operators import changes, delta, fixpoint, hierarchy, lookups, rules, scc, stats, verify
+from pointweave.plans import pointsto
+from pointweave.sources import tables
+from pointweave.storage import written
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def cte(*names: str) -> str:
+    return ", ".join(f'"{n}" as ({tables.SQL[n]})' for n in names)
+
+
+# --- points-to sets over the layered supply graph ----------------------------------------------------------------------
+
+_SUPPLY = f"with recursive {cte('supply_seed', 'supply_edge')}, pts(node, heap) as (select node, heap from supply_seed union select dst, heap from pts join supply_edge on src = node)"
+
+
+def _supply(spark: SparkSession, d: str) -> DataFrame:
+    return fixpoint.points_to(written(tables.frame(spark, d, "supply_edge"), "edge"), tables.frame(spark, d, "supply_seed"))
+
+
+@query(f"{_SUPPLY} select node, heap from pts")
+def pts_supply(spark, d):
+    return _supply(spark, d)
+
+
+@query(f"{_SUPPLY} select count(distinct node) as nodes, count(*) as total from pts")
+def pts_size_stats(spark, d):
+    return stats.set_statistics(_supply(spark, d))
+
+
+@query(f"{_SUPPLY} select node, count(*) as size from pts where node like 'R%' or node like 'N%' group by node")
+def pts_roots(spark, d):
+    return stats.sizes(_supply(spark, d).where("node like 'R%' or node like 'N%'"))
+
+
+@query(f"{_SUPPLY} select node, string_agg(cast(heap as varchar), ',' order by cast(heap as varchar)) as text from (select distinct node, heap from pts where node like 'P%') group by node")
+def pts_grouped(spark, d):
+    return lookups.joined_text(_supply(spark, d).where("node like 'P%'"), "node", "heap")
+
+
+# --- cycles: the token-transition graph -------------------------------------------------------------------------------
+
+_TOKENS = f"""with recursive {cte('token_edge')}, nodes as (select src node from token_edge union select dst from token_edge),
+reach(src, dst) as (select src, dst from token_edge union select r.src, e.dst from reach r join token_edge e on e.src = r.dst),
+scc as (select n.node, least(n.node, coalesce(min(a.dst), n.node)) rep from nodes n
+  left join (select x.src, x.dst from reach x join reach y on y.src = x.dst and y.dst = x.src) a on a.src = n.node group by n.node),
+cond as (select distinct a.rep src_rep, b.rep dst_rep from token_edge join scc a on a.node = src join scc b on b.node = dst where a.rep <> b.rep)"""
+
+
+def _tokens(spark, d) -> DataFrame:
+    return written(tables.frame(spark, d, "token_edge"), "edge")
+
+
+@query(f"{_TOKENS} select src, dst from reach")
+def reach_tokens(spark, d):
+    return fixpoint.closure(_tokens(spark, d))
+
+
+@query(f"{_TOKENS} select distinct dst as node from reach where src = (select min(src) from token_edge) union select min(src) from token_edge")
+def reach_from_least(spark, d):
+    edge = _tokens(spark, d)
+    return fixpoint.reachable(edge, edge.agg(F.min("src").alias("node")).where("node is not null"))
+
+
+@query(f"{_TOKENS} select node, rep from scc")
+def scc_tokens(spark, d):
+    return scc.components(_tokens(spark, d))
+
+
+@query(f"{_TOKENS} select rep, count(*) as size from scc group by rep")
+def scc_sizes(spark, d):
+    return scc.components(_tokens(spark, d)).groupBy("rep").agg(F.count("node").alias("size"))
+
+
+@query(f"{_TOKENS} select src_rep, dst_rep from cond")
+def condensation_tokens(spark, d):
+    edge = _tokens(spark, d)
+    return scc.condensation(edge, scc.components(edge))
+
+
+@query(f"{_TOKENS} select dst_rep as src_rep, src_rep as dst_rep from cond")
+def condensation_reverse(spark, d):
+    return scc.reverse(condensation_tokens(spark, d))
+
+
+@query(f"{_TOKENS}, p(node, heap) as (select distinct src, src from token_edge where src % 7 = 0 union select dst, heap from p join token_edge on src = node) select node, heap from p")
+def pts_condensed(spark, d):
+    edge = _tokens(spark, d)
+    return fixpoint.points_to_condensed(edge, edge.where("src % 7 = 0").select(F.col("src").alias("node"), F.col("src").alias("heap")).distinct())
+
+
+# --- change logs ------------------------------------------------------------------------------------------------------
+
+#: Changes up to this share of the log's sequence numbers build the first state, the others are applied to it.
+_CUT = "(select min(seq) + (max(seq) - min(seq)) * 6 // 10 from change)"
+
+
+def _net(where: str) -> str:
+    return f"(select src, dst from (select src, dst, op, row_number() over (partition by src, dst order by seq desc) rn from change where {where}) x where rn = 1 and op = 'add' and src <> dst)"
+
+
+_LOG = f"""with recursive {cte('change')}, early as {_net(f'seq <= {_CUT}')}, late as {_net('true')},
+lastop as (select src, dst, op from (select src, dst, op, row_number() over (partition by src, dst order by seq desc) rn from change where seq > {_CUT} and src <> dst) x where rn = 1),
+seeds as (select distinct src node, src heap from change where src % 10 = 0),
+p0(node, heap) as (select node, heap from seeds union select dst, heap from p0 join early on src = node),
+p1(node, heap) as (select node, heap from seeds union select dst, heap from p1 join late on src = node)"""
+
+
+def _log(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Changes before the cut and after it, without self-edges, and seeds."""
+    log = written(tables.frame(spark, d, "change"), "change")
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    cut = (low or 0) + ((high or 0) - (low or 0)) * 6 // 10
+    seeds = log.where("src % 10 = 0").select(F.col("src").alias("node"), F.col("src").alias("heap")).distinct()
+    log = log.where("src <> dst")
+    return log.where(F.col("seq") <= cut), log.where(F.col("seq") > cut), written(seeds, "seed")
+
+
+def _evolved(spark, d, components: bool = False):
+    early, late, seeds = _log(spark, d)
+    state = delta.start(lookups.net_edges(early), seeds, components)
+    return state, *delta.apply_changes(state, late)
+
+
+@query(f"{_LOG} select src, dst from late")
+def net_edges(spark, d):
+    return lookups.net_edges(tables.frame(spark, d, "change"))
+
+
+@query(f"{_LOG} select src, dst from lastop where op = 'add' except select src, dst from early")
+def edge_add_novel(spark, d):
+    early, late, _ = _log(spark, d)
+    return lookups.insert(lookups.net_edges(early), lookups.net_changes(late).where("op = 'add'").select("src", "dst"))[1]
+
+
+@query(f"{_LOG} select src, dst from lastop where op = 'del' intersect select src, dst from early")
+def edge_delete_existing(spark, d):
+    early, late, _ = _log(spark, d)
+    return lookups.delete(lookups.net_edges(early), lookups.net_changes(late).where("op = 'del'").select("src", "dst"))[1]
+
+
+@query(f"{_LOG} select node, heap from p1")
+def pts_after_changes(spark, d):
+    return _evolved(spark, d)[1].pts
+
+
+@query(f"{_LOG} select distinct node from ((select * from p0 except select * from p1) union (select * from p1 except select * from p0))")
+def affected_after_changes(spark, d):
+    return _evolved(spark, d)[2]
+
+
+@query(
+    f"{_LOG}, reach(src, dst) as (select src, dst from late union select r.src, e.dst from reach r join late e on e.src = r.dst), "
+    "nodes as (select src node from change where src <> dst union select dst from change where src <> dst union select node from seeds) "
+    "select n.node, least(n.node, coalesce(min(a.dst), n.node)) as rep from nodes n left join (select x.src, x.dst from reach x join reach y on y.src = x.dst and y.dst = x.src) a on a.src = n.node group by n.node"
+)
+def scc_after_changes(spark, d):
+    _, after, _ = _evolved(spark, d, components=True)
+    known = tables.frame(spark, d, "change").where("src <> dst").select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return known.unionByName(after.nodes).distinct().join(after.scc, "node", "left").select("node", F.coalesce("rep", "node").alias("rep"))
+
+
+@query(f"{_LOG} select 'missing' as kind, node, heap from p1 where false")
+def invariant_violations(spark, d):
+    _, after, _ = _evolved(spark, d, components=True)
+    return verify.component_violations(after.edge, after.scc, after.seed, after.pts)
+
+
+@query(f"{_LOG} select node, heap from p1 where false")
+def roundtrip_diff(spark, d):
+    early, _, seeds = _log(spark, d)
+    state = delta.start(lookups.net_edges(early), seeds)
+    return verify.round_trip(state, state.edge.where("(src * 31 + dst) % 5 = 0"))[1]
+
+
+@query(f"{_LOG} select src, dst from early where src in (select node from seeds)")
+def successors_of_seeds(spark, d):
+    early, _, seeds = _log(spark, d)
+    return lookups.successors(lookups.net_edges(early), seeds)
+
+
+@query(
+    f"{_LOG} select 'union' as op, count(*) as n from (select * from early union select * from late) union all "
+    "select 'difference', count(*) from (select * from early except select * from late) union all select 'intersection', count(*) from (select * from early intersect select * from late)"
+)
+def set_operations(spark, d):
+    early, late, _ = _log(spark, d)
+    a, b = written(lookups.net_edges(early), "a"), written(lookups.net_edges(early.unionByName(late)), "b")
+    made = {"union": lookups.union_sets(a, b), "difference": lookups.difference(a, b), "intersection": lookups.intersection(a, b)}
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "n") for op, df in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# --- hierarchy, contexts ----------------------------------------------------------------------------------------------
+
+_HIER = f"""{cte('class', 'function')}, method as (select class_id, name_id selector, max(fn_id) fn_id from function where not is_static group by class_id, name_id),
+anc(class_id, ancestor, depth) as (select class_id, class_id, cast(0 as bigint) from class union select a.class_id, c.super_id, a.depth + 1 from anc a join class c on c.class_id = a.ancestor where c.super_id is not null),
+resolved as (select a.class_id, m.selector, arg_min(m.fn_id, a.depth) fn_id from anc a join method m on m.class_id = a.ancestor group by 1, 2)"""
+
+
+@query(f"with recursive {_HIER} select class_id, ancestor, depth from anc")
+def class_ancestors(spark, d):
+    return fixpoint.ancestors(tables.frame(spark, d, "class"))
+
+
+@query(f"with recursive {_HIER} select class_id, selector, fn_id from resolved")
+def method_resolve(spark, d):
+    return hierarchy.resolve(tables.frame(spark, d, "class"), hierarchy.methods(tables.frame(spark, d, "function")))
+
+
+@query(f"with {cte('function')} select name_id as method, max(fn_id) as fn_id from function where is_static group by name_id")
+def static_lookup(spark, d):
+    return hierarchy.static_functions(tables.frame(spark, d, "function"))
+
+
+def _merged(policy):
+    def run(spark, d):
+        f = tables.frame(spark, d, "function")
+        grown = policy.merge(policy.merge(policy.initial(F.col("fn_id")), F.col("name_id")), F.col("class_id"))
+        return f.select("fn_id", label(policy.initial(F.col("fn_id"))).alias("initial"), label(policy.merge(policy.initial(F.col("fn_id")), F.col("name_id"))).alias("once"), label(grown).alias("twice"))
+
+    return run
+
+
+for _n, _policy in enumerate(POLICIES):
+    QUERIES[f"context_merge_{_n}"] = _merged(_policy)
+    _once = {0: "''", 1: "cast(name_id as varchar)"}.get(_n, "concat(fn_id, '.', name_id)")
+    _twice = {0: "''", 1: "cast(class_id as varchar)", 2: "concat(name_id, '.', class_id)", 3: "concat(fn_id, '.', name_id, '.', class_id)"}[_n]
+    _first = "''" if _n == 0 else "cast(fn_id as varchar)"
+    ORACLES[f"context_merge_{_n}"] = f'with {cte("function")} select fn_id, {_first} as initial, {_once} as once, {_twice} as twice from function'
+
+
+# --- lowering ---------------------------------------------------------------------------------------------------------
+
+_SSA = f"with {cte('raw_instr', 'ssa')}, types as (select distinct concat('T', s_suppkey % 30) type_name from supplier where s_suppkey % 30 < 25)"
+_V = "concat(fn_id, '#', {0})".format
+_VIRTUAL = "(is_dispatch or (is_special and not contains(signature, '<init>') and not contains(signature, '<clinit>')))"
+_DEF = f"case when def_id is null then null else {_V('def_id')} end"
+
+
+def _lowered(pick, columns: list[str], sql: str):
+    def run(spark, d):
+        types = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 30 < 25").select(F.concat(F.lit("T"), (F.col("s_suppkey") % 30).cast("string")).alias("type_name")).distinct()
+        out = pick(tables.ssa(spark, d), types)
+        cols = [F.array_join("args", ",").alias("args") if c == "args" else F.col(c) for c in columns]
+        return out.select("fn_id", "pos", *cols)
+
+    return run, f"{_SSA} {sql}"
+
+
+for _name, _pick, _columns, _sql in (
+    ("lower_array_load", lambda s, t: lowering.array_loads(s), ["target", "source", "field"], f"select fn_id, pos, {_DEF} as target, {_V('use0')} as source, 'array' as field from ssa where op = 'array_load' and not is_primitive"),
+    ("lower_array_store", lambda s, t: lowering.array_stores(s), ["target", "source", "field"], f"select fn_id, pos, {_V('use0')} as target, {_V('use1')} as source, 'array' as field from ssa where op = 'array_store' and not is_primitive"),
+    ("lower_return", lambda s, t: lowering.returns(s), ["source"], f"select fn_id, pos, {_V('use0')} as source from ssa where op = 'return' and not is_primitive and use1 % 7 <> 0"),
+    ("lower_vcall", lambda s, t: lowering.virtual_calls(s), ["target", "source", "method", "args"], f"select fn_id, pos, {_DEF} as target, {_V('use0')} as source, selector as method, {_V('use1')} as args from ssa where op = 'invoke' and {_VIRTUAL}"),
+    ("lower_scall", lambda s, t: lowering.static_calls(s), ["target", "method", "args"], f"select fn_id, pos, {_DEF} as target, signature as method, concat({_V('use0')}, ',', {_V('use1')}) as args from ssa where op = 'invoke' and not {_VIRTUAL}"),
+    (
+        "lower_get_field", lambda s, t: lowering.get_fields(s), ["kind", "target", "source", "field"],
+        f"select fn_id, pos, case when is_static then 'assign' else 'load' end as kind, {_DEF} as target, case when is_static then concat('static:', field) else {_V('use0')} end as source, case when is_static then null else field end as field from ssa where op = 'get_field'",
+    ),
+    (
+        "lower_put_field", lambda s, t: lowering.put_fields(s), ["kind", "target", "source", "field"],
+        f"select fn_id, pos, case when is_static then 'assign' else 'store' end as kind, case when is_static then concat('static:', field) else {_V('use0')} end as target, case when is_static then {_V('use0')} else {_V('use1')} end as source, case when is_static then null else field end as field from ssa where op = 'put_field'",
+    ),
+    ("lower_copy", lambda s, t: lowering.casts(s), ["target", "source"], f"select fn_id, pos, {_DEF} as target, {_V('use0')} as source from ssa where op in ('check_cast', 'pi')"),
+    ("lower_phi_explode", lambda s, t: lowering.phis(s), ["target", "source"], f"select fn_id, pos, {_DEF} as target, {_V('use0')} as source from ssa where op = 'phi' union all select fn_id, pos, {_DEF}, {_V('use1')} from ssa where op = 'phi'"),
+    ("lower_alloc", lambda s, t: lowering.allocations(s, t), ["target", "type_name"], f"select fn_id, pos, {_DEF} as target, type_name from ssa where op = 'new' and type_name in (select type_name from types)"),
+    ("lower_metadata", lambda s, t: lowering.metadata(s), ["target", "source"], f"select fn_id, pos, {_DEF} as target, concat('tok:', token) as source from ssa where op = 'metadata'"),
+):
+    QUERIES[_name], ORACLES[_name] = _lowered(_pick, _columns, _sql)
+
+
+@query(
+    f"{_SSA}, l as (select case when op = 'invoke' then case when {_VIRTUAL} then 'vcall' else 'scall' end when op in ('check_cast', 'pi', 'metadata') then 'assign' when op = 'phi' then 'assign' when op = 'new' then 'alloc' "
+    "when op = 'return' then 'return' when op = 'array_load' then 'load' when op = 'array_store' then 'store' when is_static then 'assign' when op = 'get_field' then 'load' else 'store' end kind, case when op = 'phi' then 2 else 1 end n "
+    "from ssa where op <> 'throw' and not (op in ('array_load', 'array_store', 'return') and is_primitive) and not (op = 'return' and use1 % 7 = 0) and not (op = 'new' and type_name not in (select type_name from types))) "
+    "select kind, cast(sum(n) as bigint) as n from l group by kind"
+)
+def lower_all(spark, d):
+    types = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 30 < 25").select(F.concat(F.lit("T"), (F.col("s_suppkey") % 30).cast("string")).alias("type_name")).distinct()
+    return lowering.lower(tables.ssa(spark, d), types).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"with {cte('function')} select fn_id, case when is_static or contains(s, '<init>') then s else concat('sel', name_id) end as name, is_static or contains(s, '<init>') as is_static "
+    "from (select *, concat('C', class_id, case when fn_id % 11 = 0 then '.<init>' else '.m' end, name_id) s from function)"
+)
+def lower_functions(spark, d):
+    f = tables.frame(spark, d, "function")
+    signature = F.concat(F.lit("C"), F.col("class_id").cast("string"), F.when(F.col("fn_id") % 11 == 0, F.lit(".<init>")).otherwise(F.lit(".m")), F.col("name_id").cast("string"))
+    return lowering.lower_functions(f.select("fn_id", signature.alias("signature"), F.concat(F.lit("sel"), F.col("name_id").cast("string")).alias("selector"), F.col("is_static").alias("static_flag")))
+
+
+@query(f"with {cte('function')} select fn_id, cast(i as int) as pos, cast(i + 1 as int) as ssa, concat('f', fn_id, '::param', i) as name from function, unnest(range(0, fn_id % 4)) t(i)")
+def lower_parameters(spark, d):
+    f = tables.frame(spark, d, "function")
+    return lowering.parameters(f.select("fn_id", F.concat(F.lit("f"), F.col("fn_id").cast("string")).alias("signature"), (F.col("fn_id") % 4).alias("n_params")))
+
+
+# --- graph rules over the derived program, all functions without contexts ---------------------------------------------
+
+_INSTR = f"""{cte('raw_instr')}, instr as (select row_number() over (order by f, k, pk, sk) instr_id, f fn_id, k, f * 100 + pk % 20 target, f * 100 + (pk * 7 + sk) % 20 source, sk % 4 field,
+  1000 + sk class_id, static_callee, pk % 5 selector from raw_instr)"""
+_RULES = f"with recursive {_HIER}, {_INSTR}, static_fn as (select name_id, max(fn_id) fn_id from function where is_static group by name_id), ret as (select fn_id, source from instr where k = 7), every_method as (select distinct selector, fn_id from resolved)"
+
+
+def _all_functions(spark, d):
+    p = tables.program(spark, d)
+    return p, p.functions.select("fn_id", F.array().cast("array<bigint>").alias("ctx"))
+
+
+@query(f"{_RULES} select concat('H', instr_id) as src, concat('V', target) as dst from instr where k = 1")
+def rule_alloc_edges(spark, d):
+    p, reach = _all_functions(spark, d)
+    return rules.alloc_edges(p.instr, reach)
+
+
+@query(f"{_RULES} select distinct concat('V', source) as src, concat('V', target) as dst from instr where k = 2")
+def rule_assign_edges(spark, d):
+    p, reach = _all_functions(spark, d)
+    return rules.assign_edges(p.instr, reach).distinct()
+
+
+@query(f"{_RULES} select distinct concat('F', source, '.', field) as src, concat('V', target) as dst from instr where k = 4")
+def rule_load_edges(spark, d):
+    p, reach = _all_functions(spark, d)
+    return rules.load_edges(p.instr, reach).distinct()
+
+
+@query(f"{_RULES} select distinct concat('V', source) as src, concat('F', target, '.', field) as dst from instr where k = 3")
+def rule_store_edges(spark, d):
+    p, reach = _all_functions(spark, d)
+    return rules.store_edges(p.instr, reach).distinct()
+
+
+@query(f"{_RULES} select distinct concat('V', case when i = 0 then source else target end) as src, concat('V', s.fn_id * 100 + i) as dst from instr join static_fn s on s.name_id = static_callee, (values (0), (1)) t(i) where k = 5")
+def rule_static_arg_edges(spark, d):
+    p, reach = _all_functions(spark, d)
+    return rules.static_argument_edges(rules.static_calls(p.instr, reach, p.static_functions(), NoContext()), p.params).distinct()
+
+
+@query(f"{_RULES} select distinct concat('V', i.target) as src, concat('V', r.source) as dst from instr i join static_fn s on s.name_id = static_callee join ret r on r.fn_id = s.fn_id where k = 5")
+def rule_static_return_edges(spark, d):
+    p, reach = _all_functions(spark, d)
+    return rules.static_return_edges(rules.static_calls(p.instr, reach, p.static_functions(), NoContext()), p.instr).distinct()
+
+
+@query(f"{_RULES} select distinct concat('V', r.source) as src, concat('V', i.target) as dst from instr i join static_fn s on s.name_id = static_callee join ret r on r.fn_id = s.fn_id where k = 5")
+def rule_static_return_edges_corrected(spark, d):
+    p, reach = _all_functions(spark, d)
+    return rules.static_return_edges(rules.static_calls(p.instr, reach, p.static_functions(), NoContext()), p.instr, "corrected").distinct()
+
+
+def _by_hierarchy(spark, d):
+    p, reach = _all_functions(spark, d)
+    return p, rules.bind_by_hierarchy(rules.virtual_sites(p.instr, reach), p.resolved(), NoContext())
+
+
+@query(f"{_RULES} select distinct concat('V', source) as src, concat('V', m.fn_id * 100 + i) as dst from instr join every_method m using (selector), (values (0), (1)) t(i) where k = 6")
+def rule_virtual_arg_edges_cha(spark, d):
+    p, calls = _by_hierarchy(spark, d)
+    return rules.virtual_argument_edges(calls, p.params).distinct()
+
+
+@query(f"{_RULES} select distinct concat('V', r.source) as src, concat('V', i.target) as dst from instr i join every_method m using (selector) join ret r on r.fn_id = m.fn_id where k = 6")
+def rule_virtual_return_edges_cha(spark, d):
+    p, calls = _by_hierarchy(spark, d)
+    return rules.virtual_return_edges(calls, p.instr).distinct()
+
+
+@query(f"{_RULES} select i.instr_id, m.fn_id from instr i join every_method m using (selector) where k = 6 and m.fn_id % 3 = 0")
+def arity_violations(spark, d):
+    """Calls of methods that have four parameters more, to show the check."""
+    p, calls = _by_hierarchy(spark, d)
+    more = p.functions.where("fn_id % 3 = 0").select("fn_id", F.explode(F.sequence(F.lit(2), F.lit(5))).alias("pos")).withColumn("var_id", F.lit(-1).cast("bigint"))
+    sized = calls.select("instr_id", F.col("callee").alias("fn_id"), F.size("args").cast("bigint").alias("n_args"))
+    return hierarchy.arity_errors(sized, p.params.unionByName(more))
+
+
+# --- whole programs ---------------------------------------------------------------------------------------------------
+
+
+def _edges_sql(reach: str) -> str:
+    """Context-free edges of the functions in reach, but for virtual calls."""
+    return f"""select concat('H', instr_id) s, concat('V', target) t from instr where k = 1 and fn_id in ({reach})
+  union select concat('V', source), concat('V', target) from instr where k = 2 and fn_id in ({reach})
+  union select concat('V', source), concat('F', target, '.', field) from instr where k = 3 and fn_id in ({reach})
+  union select concat('F', source, '.', field), concat('V', target) from instr where k = 4 and fn_id in ({reach})
+  union select concat('V', case when i = 0 then source else target end), concat('V', s.fn_id * 100 + i) from instr join static_fn s on s.name_id = static_callee, (values (0), (1)) v(i) where k = 5 and instr.fn_id in ({reach})
+  union select concat('V', i.target), concat('V', r.source) from instr i join static_fn s on s.name_id = static_callee join ret r on r.fn_id = s.fn_id where k = 5 and i.fn_id in ({reach})"""
+
+
+#: One relation for the mutual recursion: F reached functions, P points-to rows, C bindings (call site, callee).
+_PROGRAM = f"""{_RULES},
+fedge as (select i.fn_id f, s.fn_id g from instr i join static_fn s on s.name_id = static_callee where k = 5),
+halloc as (select concat('H', instr_id) h, fn_id f, concat('V', target) v, class_id from instr where k = 1),
+hclass as (select h, r.selector, r.fn_id g from halloc a join resolved r on r.class_id = a.class_id),
+pedge as (select fn_id f, concat('V', source) s, concat('V', target) t from instr where k = 2
+  union select fn_id, concat('V', source), concat('F', target, '.', field) from instr where k = 3
+  union select fn_id, concat('F', source, '.', field), concat('V', target) from instr where k = 4
+  union select i.fn_id, concat('V', case when n = 0 then source else target end), concat('V', s.fn_id * 100 + n) from instr i join static_fn s on s.name_id = static_callee, (values (0), (1)) v(n) where k = 5
+  union select i.fn_id, concat('V', i.target), concat('V', r.source) from instr i join static_fn s on s.name_id = static_callee join ret r on r.fn_id = s.fn_id where k = 5
+  union select f, h, v from halloc),
+vsite as (select instr_id, fn_id f, concat('V', source) recv, concat('V', target) tgt, selector from instr where k = 6),
+vedge as (select v.instr_id i, m.fn_id g, recv s, concat('V', m.fn_id * 100 + n) t from vsite v join every_method m using (selector), (values (0), (1)) x(n)
+  union select v.instr_id, m.fn_id, concat('V', r.source), tgt from vsite v join every_method m using (selector) join ret r on r.fn_id = m.fn_id),
+t(k, a, b) as (
+  select 'F', cast(fn_id as varchar), '' from function where fn_id < 10
+  union (
+    select 'F', cast(e.g as varchar), '' from t x join fedge e on x.k = 'F' and x.a = cast(e.f as varchar)
+    union select 'F', x.b, '' from t x where x.k = 'C'
+    union select 'P', h, h from t x join halloc on x.k = 'F' and x.a = cast(f as varchar)
+    union select 'P', e.t, y.b from t x join pedge e on x.k = 'F' and x.a = cast(e.f as varchar) join recurring.t y on y.k = 'P' and y.a = e.s
+    union select 'P', e.t, x.b from t x join pedge e on x.k = 'P' and x.a = e.s join recurring.t y on y.k = 'F' and y.a = cast(e.f as varchar)
+    union select 'P', e.t, y.b from t x join vedge e on x.k = 'C' and x.a = cast(e.i as varchar) and x.b = cast(e.g as varchar) join recurring.t y on y.k = 'P' and y.a = e.s
+    union select 'P', e.t, x.b from t x join vedge e on x.k = 'P' and x.a = e.s join recurring.t y on y.k = 'C' and y.a = cast(e.i as varchar) and y.b = cast(e.g as varchar)
+    union select 'C', cast(v.instr_id as varchar), cast(c.g as varchar) from t x join vsite v on x.k = 'F' and x.a = cast(v.f as varchar) join recurring.t y on y.k = 'P' and y.a = v.recv join hclass c on c.h = y.b and c.selector = v.selector
+    union select 'C', cast(v.instr_id as varchar), cast(c.g as varchar) from t x join vsite v on x.k = 'P' and x.a = v.recv join hclass c on c.h = x.b and c.selector = v.selector join recurring.t y on y.k = 'F' and y.a = cast(v.f as varchar)))"""
+
+
+@query(f"{_RULES}, fedge as (select i.fn_id f, s.fn_id g from instr i join static_fn s on s.name_id = static_callee where k = 5), r(fn_id) as (select fn_id from function where fn_id < 10 union select g from r join fedge on f = fn_id) select fn_id from r")
+def reachable_functions(spark, d):
+    return pointsto.reachable_functions(tables.program(spark, d)).select("fn_id")
+
+
+@query(f"{_PROGRAM} select cast(a as bigint) as instr_id, cast(b as bigint) as callee from t where k = 'C'")
+def call_graph_on_the_fly(spark, d):
+    return pointsto.build(tables.program(spark, d)).calls.select("instr_id", "callee")
+
+
+@query(f"{_PROGRAM} select a as node, b as heap from t where k = 'P'")
+def pts_program(spark, d):
+    return pointsto.build(tables.program(spark, d)).pts
+
+
+@query(f"{_PROGRAM}, reached as (select cast(a as bigint) fn_id from t where k = 'F') {_edges_sql('select fn_id from reached')} union select e.s, e.t from vedge e join t on t.k = 'C' and t.a = cast(e.i as varchar) and t.b = cast(e.g as varchar)".replace(" s, concat('V', target) t from instr where k = 1", " as src, concat('V', target) as dst from instr where k = 1"))
+def edges_program(spark, d):
+    return pointsto.build(tables.program(spark, d)).edge
+
+
+def _affected(kind: str):
+    def run(spark, d):
+        p = tables.program(spark, d)
+        made = pointsto.build(p)
+        return changes.affected_edges(p, made, p.instr.where(F.col("kind") == kind))
+
+    return run
+
+
+_REACHED = f"{_PROGRAM}, reached as (select cast(a as bigint) fn_id from t where k = 'F'), alledge as ({_edges_sql('select fn_id from reached')} union select e.s, e.t from vedge e join t on t.k = 'C' and t.a = cast(e.i as varchar) and t.b = cast(e.g as varchar))"
+for _name, _cand in (
+    ("assign", "select instr_id, concat('V', source) s, concat('V', target) t from instr where k = 2"),
+    ("alloc", "select instr_id, concat('H', instr_id) s, concat('V', target) t from instr where k = 1"),
+    ("store", "select instr_id, concat('V', source) s, concat('F', target, '.', field) t from instr where k = 3"),
+    ("load", "select instr_id, concat('F', source, '.', field) s, concat('V', target) t from instr where k = 4"),
+    (
+        "scall",
+        "select instr_id, concat('V', case when n = 0 then source else target end) s, concat('V', s.fn_id * 100 + n) t from instr join static_fn s on s.name_id = static_callee, (values (0), (1)) v(n) where k = 5 "
+        "union select instr_id, concat('V', i.target), concat('V', r.source) from instr i join static_fn s on s.name_id = static_callee join ret r on r.fn_id = s.fn_id where k = 5",
+    ),
+    (
+        "vcall",
+        "select i instr_id, s, e.t from vedge e join t on t.k = 'C' and t.a = cast(e.i as varchar) and t.b = cast(e.g as varchar) where e.t not in (select tgt from vsite where instr_id = e.i) or e.s in (select recv from vsite where instr_id = e.i) "
+        "union select v.instr_id, tgt, concat('V', r.source) from vsite v join t on t.k = 'C' and t.a = cast(v.instr_id as varchar) join ret r on t.b = cast(r.fn_id as varchar)",
+    ),
+):
+    QUERIES[f"affected_edges_{_name}"] = _affected(_name)
+    ORACLES[f"affected_edges_{_name}"] = f"{_REACHED}, cand as ({_cand}) select distinct c.instr_id, c.s as src, c.t as dst from cand c join alledge e on e.s = c.s and e.t = c.t"
+
+
+@query(f"{_PROGRAM} select 'No context' as policy, count(distinct a) as nodes, count(*) as total from t where k = 'P'")
+def stats_no_context(spark, d):
+    return stats.by_policy({NoContext.label: pointsto.build(tables.program(spark, d)).pts})
+
+
+@query()
+def stats_by_policy(spark, d):
+    p = tables.program(spark, d, entries=4)
+    return stats.by_policy({policy.label: pointsto.build(p, policy).pts for policy in (NoContext(), CallString(1), CallString(2))})
+
+
+@query()
+def pts_program_corrected_2_context(spark, d):
+    return pointsto.build(tables.program(spark, d, entries=4), CallString(2), "corrected").pts
