@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The most rows and bytes of an Arrow batch.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 #: At most this many groups can each hold more than one part in HOT_GROUPS of all rows.
 HOT_GROUPS = 1000
 
@@ -59,7 +62,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark context."""
+    """Sends this package to the executors, once for each Spark context, and bounds the session's Arrow batches: rows
+    here can be long texts, and a Python worker holds a batch several times over."""
+    for key, most in ARROW_BATCH.items():
+        if int(re.match(r"-?\d+", spark.conf.get(key))[0]) not in range(1, most + 1):
+            spark.conf.set(key, str(most))
     sc = spark.sparkContext
     if getattr(sc, "_pointweave_shipped", False):
         return
