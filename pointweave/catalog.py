@@ -34,6 +34,17 @@ def cte(*names: str) -> str:
     return ", ".join(f'"{n}" as ({tables.SQL[n]})' for n in names)
 
 
+_memo: dict = {}
+
+
+def _once(spark, d: str, what: str, make):
+    """What several queries look at is computed once for each application and folder; it lies in the shared folder."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _memo:
+        _memo[key] = make()
+    return _memo[key]
+
+
 # --- points-to sets over the layered supply graph ----------------------------------------------------------------------
 
 _SUPPLY = f"with recursive {cte('supply_seed', 'supply_edge')}, pts(node, heap) as (select node, heap from supply_seed union select dst, heap from pts join supply_edge on src = node)"
@@ -142,9 +153,12 @@ def _log(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _evolved(spark, d, components: bool = False):
-    early, late, seeds = _log(spark, d)
-    state = delta.start(lookups.net_edges(early), seeds, components)
-    return state, *delta.apply_changes(state, late)
+    def make():
+        early, late, seeds = _log(spark, d)
+        state = delta.start(lookups.net_edges(early), seeds, components)
+        return state, *delta.apply_changes(state, late)
+
+    return _once(spark, d, f"evolved-{components}", make)
 
 
 @query(f"{_LOG} select src, dst from late")
@@ -249,10 +263,10 @@ def _merged(policy):
 
 for _n, _policy in enumerate(POLICIES):
     QUERIES[f"context_merge_{_n}"] = _merged(_policy)
-    _once = {0: "''", 1: "cast(name_id as varchar)"}.get(_n, "concat(fn_id, '.', name_id)")
+    _grown = {0: "''", 1: "cast(name_id as varchar)"}.get(_n, "concat(fn_id, '.', name_id)")
     _twice = {0: "''", 1: "cast(class_id as varchar)", 2: "concat(name_id, '.', class_id)", 3: "concat(fn_id, '.', name_id, '.', class_id)"}[_n]
     _first = "''" if _n == 0 else "cast(fn_id as varchar)"
-    ORACLES[f"context_merge_{_n}"] = f'with {cte("function")} select fn_id, {_first} as initial, {_once} as once, {_twice} as twice from function'
+    ORACLES[f"context_merge_{_n}"] = f'with {cte("function")} select fn_id, {_first} as initial, {_grown} as once, {_twice} as twice from function'
 
 
 # --- lowering ---------------------------------------------------------------------------------------------------------
@@ -330,7 +344,7 @@ _RULES = f"with recursive {_HIER}, {_INSTR}, static_fn as (select name_id, max(f
 
 
 def _all_functions(spark, d):
-    p = tables.program(spark, d)
+    p = tables.program(spark, d, raw="raw_instr")
     return p, p.functions.select("fn_id", F.array().cast("array<bigint>").alias("ctx"))
 
 
@@ -416,7 +430,8 @@ def _edges_sql(reach: str) -> str:
 
 
 #: One relation for the mutual recursion: F reached functions, P points-to rows, C bindings (call site, callee).
-_PROGRAM = f"""{_RULES},
+_SPARSE = _RULES.replace(tables.SQL["raw_instr"], tables.SQL["raw_program"])
+_PROGRAM = f"""{_SPARSE},
 fedge as (select i.fn_id f, s.fn_id g from instr i join static_fn s on s.name_id = static_callee where k = 5),
 halloc as (select concat('H', instr_id) h, fn_id f, concat('V', target) v, class_id from instr where k = 1),
 hclass as (select h, r.selector, r.fn_id g from halloc a join resolved r on r.class_id = a.class_id),
@@ -430,7 +445,7 @@ vsite as (select instr_id, fn_id f, concat('V', source) recv, concat('V', target
 vedge as (select v.instr_id i, m.fn_id g, recv s, concat('V', m.fn_id * 100 + n) t from vsite v join every_method m using (selector), (values (0), (1)) x(n)
   union select v.instr_id, m.fn_id, concat('V', r.source), tgt from vsite v join every_method m using (selector) join ret r on r.fn_id = m.fn_id),
 t(k, a, b) as (
-  select 'F', cast(fn_id as varchar), '' from function where fn_id < 10
+  select 'F', cast(fn_id as varchar), '' from function where fn_id < 40
   union (
     select 'F', cast(e.g as varchar), '' from t x join fedge e on x.k = 'F' and x.a = cast(e.f as varchar)
     union select 'F', x.b, '' from t x where x.k = 'C'
@@ -443,30 +458,34 @@ t(k, a, b) as (
     union select 'C', cast(v.instr_id as varchar), cast(c.g as varchar) from t x join vsite v on x.k = 'P' and x.a = v.recv join hclass c on c.h = x.b and c.selector = v.selector join recurring.t y on y.k = 'F' and y.a = cast(v.f as varchar)))"""
 
 
-@query(f"{_RULES}, fedge as (select i.fn_id f, s.fn_id g from instr i join static_fn s on s.name_id = static_callee where k = 5), r(fn_id) as (select fn_id from function where fn_id < 10 union select g from r join fedge on f = fn_id) select fn_id from r")
+@query(f"{_SPARSE}, fedge as (select i.fn_id f, s.fn_id g from instr i join static_fn s on s.name_id = static_callee where k = 5), r(fn_id) as (select fn_id from function where fn_id < 40 union select g from r join fedge on f = fn_id) select fn_id from r")
 def reachable_functions(spark, d):
     return pointsto.reachable_functions(tables.program(spark, d)).select("fn_id")
 
 
+def _built(spark, d):
+    p = _once(spark, d, "program", lambda: tables.program(spark, d))
+    return p, _once(spark, d, "analysis", lambda: pointsto.build(p))
+
+
 @query(f"{_PROGRAM} select cast(a as bigint) as instr_id, cast(b as bigint) as callee from t where k = 'C'")
 def call_graph_on_the_fly(spark, d):
-    return pointsto.build(tables.program(spark, d)).calls.select("instr_id", "callee")
+    return _built(spark, d)[1].calls.select("instr_id", "callee")
 
 
 @query(f"{_PROGRAM} select a as node, b as heap from t where k = 'P'")
 def pts_program(spark, d):
-    return pointsto.build(tables.program(spark, d)).pts
+    return _built(spark, d)[1].pts
 
 
 @query(f"{_PROGRAM}, reached as (select cast(a as bigint) fn_id from t where k = 'F') {_edges_sql('select fn_id from reached')} union select e.s, e.t from vedge e join t on t.k = 'C' and t.a = cast(e.i as varchar) and t.b = cast(e.g as varchar)".replace(" s, concat('V', target) t from instr where k = 1", " as src, concat('V', target) as dst from instr where k = 1"))
 def edges_program(spark, d):
-    return pointsto.build(tables.program(spark, d)).edge
+    return _built(spark, d)[1].edge
 
 
 def _affected(kind: str):
     def run(spark, d):
-        p = tables.program(spark, d)
-        made = pointsto.build(p)
+        p, made = _built(spark, d)
         return changes.affected_edges(p, made, p.instr.where(F.col("kind") == kind))
 
     return run
@@ -485,7 +504,7 @@ for _name, _cand in (
     ),
     (
         "vcall",
-        "select i instr_id, s, e.t from vedge e join t on t.k = 'C' and t.a = cast(e.i as varchar) and t.b = cast(e.g as varchar) where e.t not in (select tgt from vsite where instr_id = e.i) or e.s in (select recv from vsite where instr_id = e.i) "
+        "select v.instr_id, v.recv s, concat('V', cast(t.b as bigint) * 100 + n) t from vsite v join t on t.k = 'C' and t.a = cast(v.instr_id as varchar), (values (0), (1)) x(n) "
         "union select v.instr_id, tgt, concat('V', r.source) from vsite v join t on t.k = 'C' and t.a = cast(v.instr_id as varchar) join ret r on t.b = cast(r.fn_id as varchar)",
     ),
 ):
@@ -495,15 +514,15 @@ for _name, _cand in (
 
 @query(f"{_PROGRAM} select 'No context' as policy, count(distinct a) as nodes, count(*) as total from t where k = 'P'")
 def stats_no_context(spark, d):
-    return stats.by_policy({NoContext.label: pointsto.build(tables.program(spark, d)).pts})
+    return stats.by_policy({NoContext.label: _built(spark, d)[1].pts})
 
 
 @query()
 def stats_by_policy(spark, d):
-    p = tables.program(spark, d, entries=4)
+    p = tables.program(spark, d, entries=10)
     return stats.by_policy({policy.label: pointsto.build(p, policy).pts for policy in (NoContext(), CallString(1), CallString(2))})
 
 
 @query()
 def pts_program_corrected_2_context(spark, d):
-    return pointsto.build(tables.program(spark, d, entries=4), CallString(2), "corrected").pts
+    return pointsto.build(tables.program(spark, d, entries=10), CallString(2), "corrected").pts

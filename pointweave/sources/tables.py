@@ -40,6 +40,11 @@ SQL: dict[str, str] = {
         select f, k, pk, sk, cast(2 * ((pk * 31 + sk) % cast(floor((select count(*) from customer) / 2) as bigint)) as bigint) static_callee
         from (select distinct cast(o_custkey as bigint) f, cast(l_linenumber as bigint) k, cast(l_partkey as bigint) pk, cast(l_suppkey as bigint) sk
               from lineitem join orders on l_orderkey = o_orderkey) t""",
+    "raw_program": """
+        select f, k, pk, sk, cast(2 * ((pk * 31 + sk) % cast(floor((select count(*) from customer) / 2) as bigint)) as bigint) static_callee
+        from (select distinct cast(o_custkey as bigint) f, cast(l_linenumber as bigint) k, cast(l_partkey as bigint) pk, cast(l_suppkey as bigint) sk
+              from lineitem join orders on l_orderkey = o_orderkey
+              where l_linenumber not in (5, 6) or l_linenumber = 5 and l_discount >= 0.1 or l_linenumber = 6 and l_discount >= 0.08) t""",
     "ssa": """
         select f fn_id, cast(pk % 1000 as int) pos,
           case cast(pk % 13 as int) when 0 then 'array_load' when 1 then 'array_store' when 2 then 'return' when 3 then 'invoke' when 4 then 'get_field' when 5 then 'put_field'
@@ -77,9 +82,9 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.join(F.broadcast(starts), "_p").withColumn(name, F.col("_before") + local + 1).drop("_p", "_i", "_before")
 
 
-def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def instructions(spark: SparkSession, sf_dir: str, raw: str = "raw_instr") -> DataFrame:
     """The instructions of the derived program (schema.INSTR), one of seven kinds by line number."""
-    raw = numbered(frame(spark, sf_dir, "raw_instr"), ["f", "k", "pk", "sk"], "instr_id")
+    raw = numbered(frame(spark, sf_dir, raw), ["f", "k", "pk", "sk"], "instr_id")
     kinds = F.array(*map(F.lit, ("alloc", "assign", "store", "load", "scall", "vcall", "return")))
     target, source = F.col("f") * 100 + F.col("pk") % 20, F.col("f") * 100 + (F.col("pk") * 7 + F.col("sk")) % 20
     args = F.when(F.col("k") == 5, F.array(source, target)).when(F.col("k") == 6, F.array(source))
@@ -89,11 +94,13 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def program(spark: SparkSession, sf_dir: str, entries: int = 10) -> Program:
-    """The derived program: parameters are a function's variables 0 and 1, entries the functions below that number."""
+def program(spark: SparkSession, sf_dir: str, entries: int = 40, raw: str = "raw_program") -> Program:
+    """The derived program: parameters are a function's variables 0 and 1, entries the functions below that number.
+
+    raw_instr takes every line as an instruction; raw_program calls less, as programs do, or all sets become alike."""
     functions = frame(spark, sf_dir, "function")
     params = functions.select("fn_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")).withColumn("var_id", F.col("fn_id") * 100 + F.col("pos"))
-    instr = written(instructions(spark, sf_dir), "instr")
+    instr = written(instructions(spark, sf_dir, raw), "instr")
     return Program(frame(spark, sf_dir, "class"), functions, params, instr, functions.where(F.col("fn_id") < entries).select("fn_id"))
 
 
