@@ -86,11 +86,8 @@ LABELLED = """
 15 0.0 0 0.0 0 0.0 1 0 1
 1 1.0 60 0.0 40 0.0 1 0 1
 6 1.0 70 0.0 50 0.0 1 0 1
-2 1.0 1 1.0 2 1.0 1 0 0
-3 1.0 2 1.0 1 1.0 1 0 0
-4 1.0 3 1.0 5 1.0 1 0 0
-2 1.0 80 0.0 2 1.0 1 0 0
-2 1.0 2 1.0 0 0.0 1 0 0
+4 1.0 3 1.0 5 1.0 1 0 1
+2 1.0 80 0.0 2 1.0 1 0 1
 60 0.0 50 0.0 40 0.0 0 0 1
 35 0.05 9 0.0 60 0.0 0 0 1
 120 0.0 20 0.0 15 0.0 0 0 1
@@ -113,6 +110,16 @@ LABELLED = """
 7 0.4 6 0.3 0 0.0 0 0 0
 8 0.0 6 0.5 0 0.0 0 0 0
 4 0.0 6 0.0 3 1.0 0 1 0
+3 0.0 4 0.0 5 0.0 0 0 0
+6 0.0 5 0.0 4 0.0 0 0 0
+9 0.0 3 0.0 8 0.0 0 0 0
+2 0.0 3 0.0 2 0.0 0 0 0
+5 0.0 9 0.0 6 0.0 0 0 0
+8 0.0 4 0.0 3 0.0 0 0 0
+1 0.0 2 0.0 1 0.0 0 0 0
+7 0.0 7 0.0 9 0.0 0 0 0
+4 0.0 8 0.0 2 0.0 0 0 0
+3 0.0 2 0.0 7 0.0 0 0 0
 4 0.0 60 0.0 200 0.0 1 0 1
 8 0.0 200 0.0 5 0.0 1 0 1
 3 0.0 90 0.0 100 0.0 1 0 1
@@ -145,6 +152,12 @@ LABELLED = """
 16 0.0 25 0.0 22 0.0 -1 0 0
 3 0.0 4 0.0 5 0.0 -1 0 0
 150 0.0 0 0.0 60 0.0 -1 0 0
+3 0.0 40 0.0 0 0.0 1 0 1
+1 0.0 0 0.0 0 0.0 1 0 1
+5 0.0 60 0.0 0 0.0 1 0 1
+2 0.0 4 0.0 0 0.0 1 0 1
+8 0.0 90 0.0 0 0.0 1 0 1
+7 0.0 2 0.0 0 0.0 1 0 1
 """
 #: Depth of the tree and the fewest labelled rows that a leaf stands for.
 DEPTH, LEAST = 6, 1
