@@ -5,13 +5,16 @@ from __future__ import annotations
 import os
 import re
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointweave.storage import shared_path, written
+
+__all__ = ["ARROW_BATCH", "HOT_GROUPS", "crc_mod", "filesystem", "join_groups", "sampled", "session", "shared_path", "shared_uri", "ship", "table", "written"]
+
 #: The most rows and bytes of an Arrow batch.
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 #: At most this many groups can each hold more than one part in HOT_GROUPS of all rows.
@@ -22,24 +25,6 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from spark.checkpoint.dir.
-
-    Only a local master without the setting gets a folder of its own, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="pointweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/pointweave/{name}-{uuid.uuid4().hex}"
-
-
 def shared_uri(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, with its scheme, for pyarrow.fs."""
     path = shared_path(spark, name)
@@ -53,14 +38,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri("file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: a cut in the lineage that outlives executors."""
-    spark = session(df)
-    path = shared_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each Spark context, and bounds the session's Arrow batches: rows
     here can be long texts, and a Python worker holds a batch several times over."""
