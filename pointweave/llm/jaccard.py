@@ -16,9 +16,9 @@ Equal sets are one class and take part once. Signatures are dealt by their leadi
 one signature: at least m - H (or m - H / 2) less the empty parts. So where a signature has up to FEW classes all its
 pairs are counted, and only pairs with counts that reach this bound are verified on the full sets. Signatures with more
 classes are not paired; each class is told how many of these it has, which is added to its pairs' bounds, and only
-classes for which they alone can reach the bound are looked at in them: the least and the greatest key of each are
-paired with every other one, verified, and once components are known, pairs across components that share enough of
-these signatures are verified too. Pairs inside a component need no look, as they cannot change it. The result is the
+classes for which they alone can reach the bound are looked at in them: in each, the class with most such signatures and
+the one with the least key are paired with every other one, verified, and once components are known, pairs across
+components that share enough of these signatures are verified too. Pairs inside a component need no look, as they cannot change it. The result is the
 exact set of components without all pairs of any group.
 
 A text's words, shingles and edge cases: A-Z count as a-z; words are runs of bytes other than space and \\x09-\\x0D; fewer
@@ -335,16 +335,11 @@ def _tokens(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
     bitmap, bits = repeated_filter(ids.select(F.xxhash64("doc_id").alias("h")), "h", rows, least=1)
     held = spark.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def wanted(h):
-        import pandas as pd
-
-        return pd.Series(maybe_repeated(h.to_numpy(), held.value, bits))
-
     def run(batches):
         from pointweave.llm import jaccard
 
         for b in batches:
+            b = b.filter(pa.array(maybe_repeated(b.column("h").to_numpy(zero_copy_only=False), held.value, bits)))
             ids, texts = b.column("doc_id"), b.column("text").cast(pa.binary()).to_pylist()
             at, key, n, tokens = [], [], [], []
             for i, t in jaccard.sets(texts):
@@ -355,8 +350,8 @@ def _tokens(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
                     tokens.append(t.tobytes())
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "key", "n", "tokens"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(wanted(F.xxhash64("doc_id")))
-    return picked.mapInArrow(run, "doc_id long, key long, n long, tokens binary")
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("doc_id"))
+    return hashed.mapInArrow(run, "doc_id long, key long, n long, tokens binary")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -410,13 +405,80 @@ def _pair_bound(plan: dict[int, bool]):
 
 
 def _crossing(hot: DataFrame, comps: DataFrame, info: DataFrame, plan: dict[int, bool]) -> DataFrame:
-    """Pairs across components that share enough of the signatures in hot."""
-    labelled = hot.join(comps.select(F.col("node").alias("a"), "component"), "a", "left").select("grp", "a", "scheme", F.coalesce("component", "a").alias("component"))
-    mixed = labelled.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
-    left = labelled.join(mixed, "grp")
-    right = left.select("grp", F.col("a").alias("b"), F.col("component").alias("_other"))
-    pairs = left.join(right, "grp").where("a < b and component <> _other").groupBy("a", "b", "scheme").agg(F.count(F.lit(1)).alias("shared"))
-    return _sides(pairs, info).where(F.col("shared") >= _pair_bound(plan)).select("a", "b")
+    """Pairs across components that share enough of the signatures in hot (grp, a, scheme, h, least).
+
+    least is the fewest that a class must share with any partner, so of its signatures, taken from the rarest on, only
+    the first h - least + 1 need to be looked at: two classes that share enough share one of these. A group's members
+    bring all their signatures along; the counts of a group's pairs are taken in blocks, and only pairs that reach the
+    bound leave the task."""
+    parts_of = hot.join(comps.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    # only signatures of several components can be shared by a pair across components
+    rare = parts_of.groupBy("grp").agg(F.count(F.lit(1)).alias("_f"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("grp", "_f")
+    labelled = parts_of.join(rare, "grp").groupBy("a", "scheme", "component").agg(F.sort_array(F.collect_list(F.struct("_f", "grp"))).alias("_s"), F.max("least").alias("least"))
+    sized = labelled.join(info.select(F.col("key").alias("a"), "n", "band", "e0", "e1"), "a").withColumn("e", F.when(F.col("band") == F.col("scheme"), F.col("e0")).otherwise(F.col("e1")))
+    kept = sized.select("a", "scheme", "component", "n", "e", "band", F.col("_s._f").alias("freq"), F.col("_s.grp").alias("sigs"), F.greatest(F.size("_s") - F.col("least") + 1, F.lit(0)).cast("int").alias("_k"))
+    members = kept.where("_k > 0").withColumn("grp", F.explode(F.slice("sigs", F.lit(1), F.col("_k"))))
+
+    def run(batches):
+        from pointweave.llm import jaccard
+
+        now, held = None, []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("grp", "a", "scheme", "component", "n", "e", "band", "freq", "sigs"))):
+                if row[0] != now and held:
+                    yield from jaccard._reach_bound(now, held, plan)
+                    held = []
+                now = row[0]
+                held.append(row[1:])
+        if held:
+            yield from jaccard._reach_bound(now, held, plan)
+
+    dealt = members.repartition("grp").sortWithinPartitions("grp").select("grp", "a", "scheme", "component", "n", "e", "band", "freq", "sigs")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+#: The most members of a group whose pairs are counted at once, and the most cells of a block.
+BLOCK, CELLS = 512, 1 << 23
+
+
+def _reach_bound(grp: int, members: list[tuple], plan: dict[int, bool]):
+    """Yields the pairs across components, of similar sizes and in the right scheme, whose shared signatures reach the
+    bound; of the groups in which a pair meets only the first, in the order of the prefixes, yields it."""
+    if len({m[2] for m in members}) < 2:
+        return
+    a, scheme, comp, n, e, band_ = (np.array([m[i] for m in members], np.int64) for i in range(6))
+    sizes = [len(m[7]) for m in members]
+    every, first, code = np.unique(np.concatenate([np.array(m[7], np.int64) for m in members]), return_index=True, return_inverse=True)
+    by = np.lexsort((every, np.concatenate([np.array(m[6], np.int64) for m in members])[first]))
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    flat, own_place = place[code], int(place[np.searchsorted(every, grp)])
+    starts = np.r_[0, np.cumsum(sizes)]
+    width = int(flat.max()) + 1
+    m_of, part = np.array([segments(j, plan.get(j, False)) for j in range(len(_EDGES) - 1)]), np.array([2 if plan.get(j, False) else 1 for j in range(len(_EDGES) - 1)])
+
+    def matrix(lo: int, hi: int) -> np.ndarray:
+        x = np.zeros((hi - lo, width), np.float32)
+        x[np.repeat(np.arange(hi - lo), sizes[lo:hi]), flat[starts[lo] : starts[hi]]] = 1
+        return x
+
+    block = max(16, min(BLOCK, CELLS // width))
+    for lo in range(0, len(members), block):
+        hi = min(lo + block, len(members))
+        left = matrix(lo, hi)
+        for lo2 in range(lo, len(members), block):
+            hi2 = min(lo2 + block, len(members))
+            right = left if lo2 == lo else matrix(lo2, hi2)
+            shared = left @ right.T - width * (left[:, :own_place] @ right[:, :own_place].T > 0)
+            i, j = slice(lo, hi), slice(lo2, hi2)
+            n1, n2 = n[i, None], n[None, j]
+            own = np.where(n1 <= n2, band_[i, None], band_[None, j])
+            bound = np.maximum(1, m_of[scheme[i, None]] - (n1 + n2) // 7 // part[scheme[i, None]] - np.minimum(e[i, None], e[None, j]))
+            ok = (shared >= bound) & (comp[i, None] != comp[None, j]) & (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)) & (own == scheme[i, None]) & (scheme[i, None] == scheme[None, j])
+            x, y = np.nonzero(ok)
+            x, y = a[lo + x], a[lo2 + y]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -452,10 +514,11 @@ def link(docs: DataFrame) -> DataFrame:
 
     # classes that may have partners only in signatures of many classes
     partner = F.least(F.col("n") + F.floor(F.col("n") * 4 / 3), F.get(F.array(*(F.lit(_EDGES[j + 1] - 1 + 4 * (_EDGES[j + 1] - 1) // 3) for j in range(len(_EDGES) - 1))), F.col("scheme").cast("int")))
-    heavy = [info.where(f"h{below} > 0").withColumn("scheme", F.col("band") - below).where(F.col(f"h{below}") >= _bound(plan, F.col("scheme"), partner, F.col(f"e{below}"))).select(F.col("key").alias("a"), "scheme") for below in (0, 1)]
-    hot = written(hot.join(heavy[0].unionByName(heavy[1]), ["a", "scheme"], "left_semi"), "hot")
-    ends = hot.groupBy("grp").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
-    stars = hot.join(ends, "grp").select("scheme", F.col("a").alias("_x"), F.explode(F.array("lo", "hi")).alias("_y")).where("_x <> _y")
+    heavy = [info.where(f"h{below} > 0").withColumn("scheme", F.col("band") - below).withColumn("least", _bound(plan, F.col("scheme"), partner, F.col(f"e{below}"))).where(F.col(f"h{below}") >= F.col("least")).select(F.col("key").alias("a"), "scheme", F.col(f"h{below}").alias("h"), "least") for below in (0, 1)]
+    hot = written(hot.join(heavy[0].unionByName(heavy[1]), ["a", "scheme"]), "hot")
+    # the text that the others of a group were copied from shares more of these signatures than any of its copies
+    hubs = hot.groupBy("grp").agg(F.max(F.struct("h", "a"))["a"].alias("hub"), F.min("a").alias("lo"))
+    stars = hot.join(hubs, "grp").select("scheme", F.col("a").alias("_x"), F.explode(F.array("hub", "lo")).alias("_y")).where("_x <> _y")
     stars = stars.select("scheme", F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
     links = _links(pairs.unionByName(_sides(stars, info).select("a", "b")), docs, classes)
     comps = components(links)
