@@ -6,9 +6,10 @@ so equal passages give equal chunks wherever they stand. The manifest lists each
 
 Digests, not payloads, are compared across documents: a Bloom filter finds those that may occur more than once. Chunks
 surely unique are stored with their document, without a shuffle. Of the others, a Spark aggregation elects one owner for
-each digest, and only owners' texts are read again to store them. Reading back, a document with only unique chunks is
+each digest, and a join tells the documents concerned which of their chunks to store. Reading back, a document with only unique chunks is
 put together from its own row; the other media, once for each distinct medium, join their chunk lists with the chunks by
-digest. Every medium is checked against its SHA-256, and features come from the payload read back.
+digest. Every medium is checked against its SHA-256, and features come from the payload read back. Joins that carry
+payloads are merge joins at every size, so that their cost grows with the input and not in steps.
 
 Null text counts as empty. Rows with equal texts have equal values. Null and repeated doc_ids are kept as they are.
 Only doc_id and text are read.
@@ -151,20 +152,17 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return pd.Series(maybe_repeated(h.to_numpy(), held.value, bits))
 
     listed = each.where(maybe(F.xxhash64("digest")))
-    elected = written(listed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("digest").alias("digests")), "media-owners")
-    repeats = written(listed.select("doc_id", "digest").groupBy("doc_id").agg(F.collect_set("digest").alias("repeated")), "media-repeats")
-    owners, owner_bits = repeated_filter(elected.select(F.xxhash64("doc_id").alias("h")), "h", elected.count(), least=1)
+    owned = listed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("digest").alias("owned")).withColumnRenamed("doc_id", "_o")
+    repeats = listed.select("doc_id", "digest").groupBy("doc_id").agg(F.collect_set("digest").alias("repeated"))
+    repeats = written(repeats.join(owned, F.col("doc_id").eqNullSafe(F.col("_o")), "left").select("doc_id", "repeated", "owned"), "media-repeats")
     mixed, mixed_bits = repeated_filter(repeats.select(F.xxhash64("doc_id").alias("h")), "h", repeats.count(), least=1)
-    tested = spark.sparkContext.broadcast((owners, mixed))
+    tested = spark.sparkContext.broadcast(mixed)
 
-    def filtered(which: int, n_bits: int):
-        @F.pandas_udf("boolean")
-        def keep(h):
-            import pandas as pd
-
-            return pd.Series(maybe_repeated(h.to_numpy(), tested.value[which], n_bits))
+    @F.pandas_udf("boolean")
+    def may_share(h):
+        import pandas as pd
 
-        return keep(F.xxhash64("doc_id"))
+        return pd.Series(maybe_repeated(h.to_numpy(), tested.value, mixed_bits))
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -172,44 +170,39 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         from pointweave.llm import media
 
         for b in batches:
-            repeated = b.column("repeated") if "repeated" in b.schema.names else None
-            rows = []
+            if "h" in b.schema.names:  # documents that may share a chunk come by the join
+                b = b.filter(pa.array(~maybe_repeated(b.column("h").to_numpy(zero_copy_only=False), tested.value, mixed_bits)))
+            repeated, owned = (b.column(c) if c in b.schema.names else None for c in ("repeated", "owned"))
+            rows, size = [], 0
             for i, (d, t) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text"))):
                 n, data = media.payload_of(t.as_py())
                 parts = media.chunks(data)
-                again = set(repeated[i].as_py() or ()) if repeated is not None else ()
-                rows.append((d, n, hashlib.sha256(media.header(len(data)) + data).digest(), len(parts), [{"idx": k, "data": p} for k, p in enumerate(parts) if not again or media.digest(p) not in again]))
-                if sum(len(p["data"]) for p in rows[-1][4]) > WINDOW or len(rows) >= 512:
+                again = set(repeated[i].as_py() or ()) if repeated is not None else set()
+                mine = set(owned[i].as_py() or ()) if owned is not None else set()
+                known = [media.digest(p) for p in parts] if again else [b""] * len(parts)
+                alone = [{"idx": k, "data": p} for k, p in enumerate(parts) if known[k] not in again]
+                pool = [{"digest": h, "data": p} for h, p in {h: p for h, p in zip(known, parts) if h in mine}.items()]
+                rows.append((d, n, hashlib.sha256(media.header(len(data)) + data).digest(), len(parts), alone, pool))
+                size += len(data)
+                if size > WINDOW:
                     yield out(rows)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield out(rows)
 
-    part = pa.list_(pa.struct([("idx", pa.int32()), ("data", pa.binary())]))
+    part, pooled = pa.list_(pa.struct([("idx", pa.int32()), ("data", pa.binary())])), pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
 
     def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.binary(), pa.int32(), part])], ["doc_id", "n_bytes", "sha", "count", "parts"])
-
-    schema = "doc_id long, n_bytes long, sha binary, count int, parts array<struct<idx: int, data: binary>>"
-    marked = slim.withColumn("_mixed", filtered(1, mixed_bits))
-    alone = marked.where(~F.col("_mixed")).select("doc_id", "text").mapInArrow(split, schema)
-    some = marked.where("_mixed").select("doc_id", "text")
-    some = some.join(repeats.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "text", "repeated")
-    own = written(alone.unionByName(some.mapInArrow(split, schema)).where("size(parts) > 0"), "media-own", compression="zstd")
-
-    def pick(batches):
-        from pointweave.llm import media
-
-        for b in batches:
-            for t, digests in zip(b.column("text"), b.column("digests")):
-                wanted, found = set(digests.as_py()), {}
-                for p in media.chunks(media.payload_of(t.as_py())[1]):
-                    if (d := media.digest(p)) in wanted:
-                        found[d] = p
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["digest", "data"])
-
-    owning = slim.where(filtered(0, owner_bits)).join(elected.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "digests")
-    pool = written(owning.mapInArrow(pick, "digest binary, data binary"), "media-pool", compression="zstd")
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), part, pooled]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "sha", "count", "parts", "pool"])
+
+    schema = "doc_id long, n_bytes long, sha binary, count int, parts array<struct<idx: int, data: binary>>, pool array<struct<digest: binary, data: binary>>"
+    alone = slim.withColumn("h", F.xxhash64("doc_id")).mapInArrow(split, schema)
+    some = slim.where(may_share(F.xxhash64("doc_id"))).join(repeats.withColumnRenamed("doc_id", "_d").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    both = alone.unionByName(some.select("doc_id", "text", "repeated", "owned").mapInArrow(split, schema))
+    stored = written(both.where("size(parts) > 0 or size(pool) > 0"), "media-store", compression="zstd")
+    own = stored.where("size(parts) > 0").drop("pool")
+    pool = stored.select(F.explode("pool").alias("p")).select("p.digest", "p.data")
     shared = repeats.select(F.col("doc_id").alias("_d"), F.lit(True).alias("shared"))
     manifest = manifest.join(shared, F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "n_bytes", "payload_bytes", "sha", "chunks", F.coalesce("shared", F.lit(False)).alias("shared"))
     return manifest, own, pool
@@ -237,7 +230,7 @@ def read(manifest: DataFrame, own: DataFrame, pool: DataFrame) -> DataFrame:
     distinct = rest.groupBy("sha").agg(F.first("chunks").alias("chunks"), F.count(F.lit(1)).alias("_n"))
     listed = distinct.select("sha", F.posexplode("chunks").alias("idx", "digest"))
     known = own.where("size(parts) < count").select("sha", F.explode("parts").alias("p")).select("sha", "p.idx", "p.data")
-    pooled = listed.join(pool.dropDuplicates(["digest"]), "digest").select("sha", "idx", "data")
+    pooled = listed.join(pool.dropDuplicates(["digest"]).hint("merge"), "digest").select("sha", "idx", "data")
 
     def assemble(batches):
         from pointweave.llm import media
