@@ -8,7 +8,6 @@ costs the stage at hand at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pointweave.llm import bpe, exact_dedup, jaccard, langid, mixing
 from pointweave.llm.common import written
@@ -37,10 +36,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids (little-endian unsigned 32-bit), n_tokens, and whether decoding gives the text again."""
-    path = tokenizer_path(BYTE_BPE)
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path)
-    decoded = bpe.decode(encoded, path, column="decoded")
-    return decoded.select("doc_id", "lang", "source", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    return bpe.round_trip(docs, tokenizer_path(BYTE_BPE), ["doc_id", "lang", "source"])
 
 
 STAGES = [

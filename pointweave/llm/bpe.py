@@ -292,6 +292,29 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", column: str = "text") -
     return docs.withColumn(column, run(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
+    """The columns in keep, ids, n_tokens, and whether the ids decode to the text again; one worker does both ways."""
+    spark = session(docs)
+    ship(spark)
+    held = spark.sparkContext.broadcast(open(path, encoding="utf-8").read())
+
+    def run(batches):
+        from pointweave.llm import bpe
+
+        c = bpe.codec(held.value)
+        for b in batches:
+            ids, exact = [], []
+            for t in b.column("_text"):
+                text = t.as_py() or ""
+                ids.append(c.encode(text))
+                exact.append(c.decode(ids[-1]) == text)
+            n = pa.array([len(i) // 4 for i in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(ids, pa.binary()), n, pa.array(exact, pa.bool_())], [*keep, "ids", "n_tokens", "exact"])
+
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, ids binary, n_tokens long, exact boolean")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids."""
     spark = session(docs)
