@@ -86,8 +86,8 @@ LABELLED = """
 15 0.0 0 0.0 0 0.0 1 0 1
 1 1.0 60 0.0 40 0.0 1 0 1
 6 1.0 70 0.0 50 0.0 1 0 1
-4 1.0 3 1.0 5 1.0 1 0 1
-2 1.0 80 0.0 2 1.0 1 0 1
+4 1.0 3 1.0 5 1.0 1 0 0
+2 1.0 80 0.0 2 1.0 1 0 0
 60 0.0 50 0.0 40 0.0 0 0 1
 35 0.05 9 0.0 60 0.0 0 0 1
 120 0.0 20 0.0 15 0.0 0 0 1
@@ -104,22 +104,22 @@ LABELLED = """
 1 1.0 2 1.0 1 1.0 0 0 0
 6 0.6 3 0.5 5 0.8 0 0 0
 9 0.0 0 0.0 2 1.0 0 0 0
-4 0.0 3 0.0 5 0.0 0 0 0
+4 0.0 3 0.0 5 0.0 0 0 1
 15 0.9 14 0.8 16 0.9 0 0 0
 30 0.8 10 0.9 25 0.8 0 0 0
 7 0.4 6 0.3 0 0.0 0 0 0
 8 0.0 6 0.5 0 0.0 0 0 0
 4 0.0 6 0.0 3 1.0 0 1 0
-3 0.0 4 0.0 5 0.0 0 0 0
-6 0.0 5 0.0 4 0.0 0 0 0
-9 0.0 3 0.0 8 0.0 0 0 0
-2 0.0 3 0.0 2 0.0 0 0 0
-5 0.0 9 0.0 6 0.0 0 0 0
-8 0.0 4 0.0 3 0.0 0 0 0
-1 0.0 2 0.0 1 0.0 0 0 0
-7 0.0 7 0.0 9 0.0 0 0 0
-4 0.0 8 0.0 2 0.0 0 0 0
-3 0.0 2 0.0 7 0.0 0 0 0
+3 0.0 4 0.0 5 0.0 0 0 1
+6 0.0 5 0.0 4 0.0 0 0 1
+9 0.0 3 0.0 8 0.0 0 0 1
+2 0.0 3 0.0 2 0.0 0 0 1
+5 0.0 9 0.0 6 0.0 0 0 1
+8 0.0 4 0.0 3 0.0 0 0 1
+1 0.0 2 0.0 1 0.0 0 0 1
+7 0.0 7 0.0 9 0.0 0 0 1
+4 0.0 8 0.0 2 0.0 0 0 1
+3 0.0 2 0.0 7 0.0 0 0 1
 4 0.0 60 0.0 200 0.0 1 0 1
 8 0.0 200 0.0 5 0.0 1 0 1
 3 0.0 90 0.0 100 0.0 1 0 1
@@ -139,7 +139,7 @@ LABELLED = """
 15 0.0 0 0.0 20 0.0 0 0 1
 40 0.0 0 0.0 50 0.0 0 0 1
 90 0.1 2 1.0 1 1.0 0 0 1
-5 0.0 0 0.0 0 0.0 0 0 0
+5 0.0 0 0.0 0 0.0 0 0 1
 200 0.0 80 0.0 60 0.0 -1 0 0
 60 0.0 0 0.0 0 0.0 -1 0 0
 11 0.0 200 0.0 0 0.0 -1 0 0
@@ -158,10 +158,101 @@ LABELLED = """
 2 0.0 4 0.0 0 0.0 1 0 1
 8 0.0 90 0.0 0 0.0 1 0 1
 7 0.0 2 0.0 0 0.0 1 0 1
+2 1.0 1 1.0 2 1.0 1 0 0
+3 1.0 2 1.0 1 1.0 1 0 0
+2 1.0 2 1.0 0 0.0 1 0 0
+3 1.0 4 1.0 40 0.0 1 0 0
+5 0.9 4 1.0 60 0.0 1 0 0
+8 1.0 30 0.0 7 0.9 1 0 0
+12 0.8 6 1.0 9 1.0 1 0 0
+3 1.0 60 0.0 0 0.0 1 0 1
+9 0.9 40 0.0 25 0.2 1 0 1
+7 0.3 5 1.0 6 1.0 1 0 1
+30 0.4 3 1.0 2 1.0 1 0 1
+6 0.0 4 1.0 5 1.0 1 0 1
+6 0.0 7 0.0 0 0.0 0 0 1
+12 0.0 60 0.0 0 0.0 0 0 1
+4 0.0 35 0.0 0 0.0 0 0 1
+9 0.0 12 0.0 11 0.0 0 0 1
+5 0.0 25 0.0 4 0.0 0 0 1
+14 0.0 8 0.0 6 0.0 0 0 1
+7 0.0 0 0.0 9 0.0 0 0 1
+8 0.0 1 1.0 7 0.0 0 0 1
+5 0.0 2 1.0 12 0.0 0 0 1
+11 0.0 9 0.0 1 1.0 0 0 1
+6 0.0 30 0.0 2 1.0 0 0 1
+17 0.0 50 0.0 3 1.0 0 0 1
+4 0.0 3 1.0 2 1.0 0 0 0
+8 0.0 1 1.0 1 1.0 0 0 0
+9 0.0 5 0.9 4 1.0 0 0 0
+6 0.0 4 1.0 0 0.0 0 0 0
+9 0.0 2 1.0 0 0.0 0 0 0
+3 0.0 0 0.0 1 1.0 0 0 0
+6 0.0 0 0.0 3 1.0 0 0 0
+1 0.0 0 0.0 0 0.0 0 0 0
+8 0.0 0 0.0 0 0.0 0 0 1
+3 1.0 20 0.0 4 1.0 0 0 0
+5 1.0 4 1.0 30 0.0 0 0 0
+12 0.8 40 0.0 9 0.9 0 0 0
+3 0.0 2 1.0 1 1.0 1 0 1
+2 0.0 0 0.0 1 1.0 1 0 1
+8 0.0 1 1.0 2 1.0 1 0 1
+4 0.0 5 0.9 0 0.0 1 0 1
+1 0.0 4 1.0 3 1.0 1 0 1
+2 0.0 0 0.0 3 0.0 1 0 1
+6 0.0 0 0.0 0 0.0 1 0 1
+3 0.0 9 1.0 8 1.0 1 1 1
+9 0.0 60 0.0 2 1.0 1 0 1
+5 0.0 2 1.0 0 0.0 1 0 1
+7 0.1 1 1.0 1 1.0 1 0 1
+2 0.0 3 0.9 4 1.0 1 0 1
+1 0.0 0 0.0 2 1.0 1 0 1
+3 0.0 0 0.0 0 0.0 1 0 1
+1 0.0 2 1.0 0 0.0 1 0 1
+4 0.0 0 0.0 2 0.0 1 0 1
+9 0.0 8 1.0 2 1.0 1 0 1
+6 0.0 3 1.0 1 1.0 1 0 1
+2 1.0 0 0.0 0 0.0 0 0 0
+4 1.0 20 0.0 30 0.0 0 0 0
+6 0.9 0 0.0 9 0.0 0 0 0
+3 1.0 12 0.0 8 0.0 0 0 0
+8 0.8 5 0.0 0 0.0 0 0 0
+2 1.0 60 0.0 0 0.0 0 0 0
+2 0.0 0 0.0 4 0.0 0 0 1
+5 0.0 0 0.0 3 0.0 0 0 1
+8 0.0 0 0.0 2 0.0 0 0 1
+3 0.0 7 0.0 0 0.0 0 0 1
+5 0.0 2 1.0 3 0.0 0 0 1
+7 0.0 1 1.0 2 0.0 0 0 1
+4 1.0 20 0.0 15 0.0 1 0 1
+2 1.0 12 0.0 30 0.0 1 0 1
+6 0.9 9 0.0 8 0.0 1 0 1
+3 1.0 5 0.0 6 0.0 1 0 1
+8 0.7 0 0.0 20 0.0 1 0 1
+5 1.0 30 0.0 4 0.0 1 0 1
+10 0.8 18 0.1 12 0.0 1 0 1
+12 1.0 6 0.0 0 0.0 1 0 1
+30 0.9 25 0.0 20 0.0 1 0 1
+4 1.0 90 0.0 5 1.0 1 0 0
+6 1.0 15 0.0 3 1.0 1 0 0
+3 1.0 5 1.0 90 0.0 1 0 0
+20 0.9 12 1.0 14 1.0 1 0 0
+40 0.0 1 1.0 1 1.0 0 0 1
+70 0.0 3 1.0 2 1.0 0 0 1
+30 0.1 2 1.0 0 0.0 0 0 1
+4 0.0 3 0.0 0 0.0 0 0 1
+5 0.0 5 0.0 0 0.0 0 0 1
+2 0.0 4 0.0 0 0.0 0 0 1
+1 0.0 6 0.0 0 0.0 0 0 1
+3 0.0 2 0.0 0 0.0 0 0 1
+2 0.0 1 0.0 1 0.0 0 0 1
+1 0.0 3 0.0 1 0.0 0 0 1
+2 0.0 0 0.0 1 0.0 0 0 1
+4 0.0 0 0.0 1 0.0 0 0 1
+2 0.0 0 0.0 0 0.0 0 0 0
 """
 #: Depth of the tree and the fewest labelled rows that a leaf stands for.
-DEPTH, LEAST = 6, 1
-
+DEPTH, LEAST = 10, 1
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH):
     """A classification tree by Gini impurity: (feature, threshold, at most it, above it), or a class at a leaf."""
