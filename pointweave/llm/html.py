@@ -44,10 +44,16 @@ _BAD = re.compile(
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article(?:[\s_-]?(?:body|content|text))?|content|entry|main|post(?:[\s_-]?(?:body|content))?|story)(?:$|[\s_-])", re.I)
 _BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
 
+#: Parts of class lists that tell of a page's make-up or of a post's subject, not of the element itself.
+_STATE = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|tag|category)-\S+", re.I)
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _SPACE = re.compile(r"\s+")
+#: Elements that an open paragraph can hold; elements whose start ends others of their kind.
+INLINE = set("a abbr b big cite code em font i label mark q s small span strong sub sup tt u".split())
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 #: Labelled blocks: words, link density, words and link density of the block before, of the block after, what the
 #: enclosing elements announce (-1 no content, 0 nothing, 1 content), heading (1) or not, and whether it is content.
@@ -254,6 +260,7 @@ LABELLED = """
 #: Depth of the tree and the fewest labelled rows that a leaf stands for.
 DEPTH, LEAST = 10, 1
 
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH):
     """A classification tree by Gini impurity: (feature, threshold, at most it, above it), or a class at a leaf."""
     if depth == 0 or len(set(y.tolist())) == 1:
@@ -293,18 +300,49 @@ def classify(features: tuple, node) -> int:
 
 
 def announce(name: str, tag: str) -> int:
-    """What an element's name and attributes say of its content: -1 no content, 1 content, 0 nothing."""
-    said = LANDMARKS.get(name, 0)
-    if "=" in tag:
+    """What an element's name and attributes say of its content: -1 no content, 1 content, 0 nothing; -2 and 2 where an
+    element or role of HTML says so. The classes of body and html tell of the page, and say nothing."""
+    said = 2 * LANDMARKS.get(name, 0)
+    if "=" in tag and name not in ("body", "html"):
+        bad = False
         for key, a, b, c in _ATTR.findall(tag):
             value = a or b or c
             if key.lower() == "role":
-                said = -1 if value.lower() in _BAD_ROLES else 1 if value.lower() in ("main", "article") else said
-            elif _BAD.search(value):
-                return -1
+                said = -2 if value.lower() in _BAD_ROLES else 2 if value.lower() in ("main", "article") else said
+            elif _BAD.search(value := _STATE.sub(" ", value)):
+                bad = True
             elif said == 0 and _GOOD.search(value):
                 said = 1
-    return said
+        if bad:
+            return min(said, -1)
+    return -1 if name == "form" and said == -2 and "role" not in tag.lower() else said
+
+
+def standing(stack: list[tuple[str, int]]) -> int:
+    """What the open elements say together: no content, once one says so; but an article or main overrides the classes
+    around it, and a form, which may hold a whole page, unless these lie in an article themselves."""
+    said, inside = 0, False
+    for name, own in stack:
+        if own < 0:
+            said = min(said, own)
+        elif own == 2 and (said == 0 or said == -1 and not inside):
+            said = 1
+        elif own > 0 and said == 0:
+            said = 1
+        inside = inside or name == "article"
+    return max(-1, said)
+
+
+def ended(name: str, stack: list[tuple[str, int]]) -> int:
+    """How many of the open elements stay open when a block of that name starts: it ends an open paragraph, and a list
+    item, cell or row another one, whatever they announce."""
+    keep, kinds = len(stack), ENDS.get(name, ())
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i][0] == "p" or stack[i][0] in kinds:
+            keep = i
+        elif stack[i][0] not in INLINE:
+            break
+    return keep
 
 
 class Block:
@@ -354,7 +392,7 @@ def blocks(page: str) -> list[Block]:
                     del stack[i:]
                     break
             if name in BLOCKS:
-                said = min((s for _, s in stack), default=0) if any(s < 0 for _, s in stack) else max((s for _, s in stack), default=0)
+                said = standing(stack)
                 heading = 0
                 links = links if any(e == "a" for e, _ in stack) else 0
             continue
@@ -370,18 +408,14 @@ def blocks(page: str) -> list[Block]:
             end()
         if name in VOID or tag.endswith("/>"):
             continue
-        if name == "p" or name in ("li", "dt", "dd", "option", "tr", "td", "th"):
-            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "u", "span", "font", "small") and stack[-1][1] == 0:
-                stack.pop()
+        if name in BLOCKS:
+            del stack[ended(name, stack) :]
         if name == "a":
             links = 1
         own = announce(name, tag)
         stack.append((name, own))
         if name in BLOCKS:
-            if own < 0 or said < 0 and any(s < 0 for _, s in stack):
-                said = -1
-            elif own > 0:
-                said = 1
+            said = standing(stack)
             heading = int(len(name) == 2 and name[0] == "h" and name[1].isdigit())
             if name != "a" and not any(e == "a" for e, _ in stack):
                 links = 0

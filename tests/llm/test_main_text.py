@@ -24,3 +24,21 @@ def test_neighbours_decide(page, want):
 def test_every_labelled_row_is_reproduced():
     rows = [[float(v) for v in line.split()] for line in html.LABELLED.strip().splitlines()]
     assert all(html.classify(tuple(r[:-1]), html.tree()) == r[-1] for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body class="single has-sidebar"><article><p>Kept.</p></article></body>', "Kept."),
+        ('<div class="page nav-open"><main><p>Kept.</p></main></div>', "Kept."),
+        ('<article class="post tag-news category-privacy no-comments"><p>Kept.</p></article>', "Kept."),
+        ('<div class="content with-sidebar"><p>Kept.</p></div>', "Kept."),
+        ('<article><p class="share">Tweet<p>Kept one.<p>Kept two.</article>', "Kept one.\nKept two."),
+        ('<article><ul><li class="share">Tweet<li>Kept.</ul></article>', "Kept."),
+        ("<aside><article><p>A teaser of another page.</p></article></aside>", ""),
+        ('<article><p>Kept.</p><div class="related"><article><p>A teaser.</p></article></div></article>', "Kept."),
+        ('<article class="comment"><p>A comment on this.</p></article>', ""),
+    ],
+)
+def test_marks_of_outer_elements(page, want):
+    assert html.extract(page) == want
