@@ -360,7 +360,9 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     sizes = classes.select("key", "first")
     active = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sizes, "key").select(F.col("first").alias("doc_id"))
     active = written(active, "active")
-    found = _tokens(docs, active, active.count()).join(sizes.withColumnRenamed("first", "doc_id"), ["key", "doc_id"]).select("key", "tokens").dropDuplicates(["key"])
+    of_class = sizes.withColumnRenamed("key", "_key")
+    # a class all of whose rows have no doc_id is found by the null
+    found = _tokens(docs, active, active.count()).join(of_class, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "tokens").dropDuplicates(["key"])
 
     def verify(batches):
         for b in batches:
@@ -483,6 +485,12 @@ def _reach_bound(grp: int, members: list[tuple], plan: dict[int, bool]):
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
+    return _linked(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame) -> DataFrame:
+    """link's columns, the key of each row's set, and the key of the set that stays of its component: of those with the
+    smallest doc_id (null only if all are) the least. Rows without shingles have no keys."""
     spark = session(docs)
     ship(spark)
     rows = docs.count()
@@ -530,21 +538,31 @@ def link(docs: DataFrame) -> DataFrame:
 
     comps = comps.select(F.col("node").alias("key"), "component")
     of = classes.join(comps, "key", "left").select("key", "first", "size", F.coalesce("component", "key").alias("component"))
-    heads = of.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("_members"))
+    heads = of.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("_none"), "first", "key")).alias("_head"), F.count(F.lit(1)).alias("_members"))
+    heads = heads.select("component", F.col("_head.first").alias("component_id"), F.col("_head.key").alias("head"), "_members")
     total = max(rows, 1)
-    resolved = join_groups(of.select("key", "size", "component"), heads, ["component"], "_members", total).select("key", "size", "component_id")
-    joined = join_groups(some.select("doc_id", "n", "key"), resolved, ["key"], "size", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return joined.unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    resolved = join_groups(of.select("key", "size", "component"), heads, ["component"], "_members", total).select("key", "size", "component_id", "head")
+    joined = join_groups(some.select("doc_id", "n", "key"), resolved, ["key"], "size", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "key", "head")
+    none = F.lit(None).cast("long")
+    return joined.unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("key"), none.alias("head")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of every component the document with the smallest doc_id. All columns are kept.
+    """The rows of docs that stay: one of every component, with the smallest doc_id, and all without shingles. All columns are kept.
 
-    Rows whose doc_id a Bloom filter of the dropped ones lacks pass straight through; the others meet the exact list."""
+    Rows whose doc_id a Bloom filter of the doubtful ones lacks pass straight through; the others meet the exact list.
+    A doc_id (null or repeated) of which not all rows go or stay is settled by the rows' sets; of rows equal in both one
+    stays, any one."""
     spark = session(docs)
-    found = written(link(docs), "components")
-    dropped = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_dropped"))
-    bitmap, bits = repeated_filter(dropped.select(F.xxhash64("_dropped").alias("h")), "h", dropped.count(), least=1)
+    found = written(_linked(docs), "components")
+    stays = F.col("key").isNull() | (F.col("key") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    marked = found.select("doc_id", "key", stays.alias("_stays"))
+    ids = marked.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count(F.when(F.col("_stays"), 1)).alias("_kept"), F.count(F.when(F.col("_stays"), F.col("key"))).alias("_keyed")
+    )
+    doubtful = ids.where((F.col("_kept") < F.col("_rows")) | (F.col("_keyed") > 1)).select("_id", (F.col("_kept") > 0).alias("_some"))
+    doubtful = written(doubtful, "doubtful-ids")
+    bitmap, bits = repeated_filter(doubtful.select(F.xxhash64("_id").alias("h")), "h", doubtful.count(), least=1)
     held = spark.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
@@ -553,7 +571,30 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
         return pd.Series(maybe_repeated(h.to_numpy(), held.value, bits))
 
+    of_id = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
     tested = docs.withColumn("_maybe", maybe(F.xxhash64(F.col("doc_id").cast("long"))))
     straight = tested.where(~F.col("_maybe")).select(*docs.columns)
-    unsure = tested.where("_maybe").join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
-    return straight.unionByName(unsure.select(*docs.columns))
+    unsure = tested.where("_maybe").join(doubtful, of_id, "left_anti")
+    out = straight.unionByName(unsure.select(*docs.columns))
+    some = doubtful.where("_some").select("_id")
+    if some.limit(1).count() == 0:
+        return out
+
+    @F.pandas_udf("long")
+    def set_key(text):
+        import pandas as pd
+
+        from pointweave.llm import jaccard
+
+        texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in text]
+        keys = [None] * len(texts)
+        for i, t in jaccard.sets(texts):
+            if len(t):
+                keys[i] = jaccard.set_keys(t)[0]
+        return pd.Series(keys, dtype="Int64")
+
+    kept = marked.where("_stays").join(some, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").where("key is not null").select(F.col("doc_id").alias("_id"), F.col("key").alias("_of")).distinct()
+    mixed = tested.where("_maybe").join(some, of_id, "left_semi").withColumn("_key", set_key("text"))
+    blank = mixed.where("_key is null")
+    full = mixed.where("_key is not null").join(kept, of_id & (F.col("_key") == F.col("_of")), "left_semi").withColumn("_own", F.col("doc_id").cast("long")).dropDuplicates(["_own", "_key"])
+    return out.unionByName(blank.select(*docs.columns)).unionByName(full.select(*docs.columns))
