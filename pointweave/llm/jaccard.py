@@ -14,17 +14,23 @@ parts than the slack allows also give signatures for these, which meet only amon
 
 Equal sets are one class and take part once. Signatures are dealt by their leading bits. Similar classes share not just
 one signature: at least m - H (or m - H / 2) less the empty parts. So where a signature has up to FEW classes all its
-pairs are counted, and only pairs with counts that reach this bound are verified on the full sets. Signatures with more
-classes are not paired; each class is told how many of these it has, which is added to its pairs' bounds, and only
-classes for which they alone can reach the bound are looked at in them: in each, the class with most such signatures and
-the one with the least key are paired with every other one, verified, and once components are known, pairs across
-components that share enough of these signatures are verified too. Pairs inside a component need no look, as they cannot change it. The result is the
-exact set of components without all pairs of any group.
+pairs are counted, and a pair whose count, with what signatures of more classes could add, reaches this bound is an edge.
+Signatures with more classes are not paired. A class that could reach its bound by these alone takes them from the rarest
+on; two such classes that share enough share one of the first h - bound + 1, so an edge from the class to the least
+class of each of these keeps all its possible partners in reach. The components of these edges are families: every pair
+of similar classes lies in one, and no group has given more edges than members.
+
+Families are verified on the full sets, in tiles of bounded size. A tile counts all its pairs' common shingles at once
+and lets out a spanning forest of the similar ones. A family of one tile is done with that. The classes of a larger one
+are dealt into blocks by hash, each together with the family's hubs (the classes with most shared signatures of each
+band), which leaves few components; then only pairs of blocks that hold different components meet. So the result is the
+exact set of components, and what leaves a task is in proportion to the members of a group and never to its pairs.
 
 A text's words, shingles and edge cases: A-Z count as a-z; words are runs of bytes other than space and \\x09-\\x0D; fewer
 than five words are one shingle; null, empty and blank texts have no shingle, are linked with nothing and keep their own
 doc_id. Rows with equal doc_id count as separate documents with the same id; a null doc_id has a null component unless
-linked with others. Only doc_id and text are read.
+linked with others. doc_id must be an integer or its text: other values raise. Only doc_id and text are read. Classes
+are told apart by 128 bits; candidates go by the first 64, where a collision can only add candidates.
 """
 
 from __future__ import annotations
@@ -40,12 +46,15 @@ from pointweave.llm.components import components
 from pointweave.llm.wordhash import word_hashes
 
 WORDS = 5
-#: Sets taken at most (about) to choose each band's allocation, and a candidate pair's cost in signatures.
-SAMPLE_SETS, PAIR_COST = 3_000, 64
+#: Sets taken at most (about) to choose each band's allocation, the most shingles of one, and a pair's cost in signatures.
+#: Bands of larger sets use whole segments.
+SAMPLE_SETS, SAMPLE_SIZE, PAIR_COST = 3_000, 1 << 12, 64
 #: Signatures aimed at in a bucket, and held back on the map side at once.
 BUCKET_ROWS, FLUSH = 100_000, 1_000_000
 #: Signatures with more classes are not paired.
 FEW = 8
+#: Classes and shingles aimed at in a block of a family, and cells of a matrix in a tile.
+BLOCK, BLOCK_SHINGLES, CELLS = 768, 1 << 20, 1 << 22
 
 _U = np.uint64
 _C = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -200,7 +209,7 @@ def _sampled_sets(docs: DataFrame, rows: int) -> list[np.ndarray]:
 
         for b in batches:
             for _, t in jaccard.sets(b.column("text").cast(pa.binary()).to_pylist()):
-                if 2 < len(t) <= 1 << 16:
+                if 2 < len(t) <= jaccard.SAMPLE_SIZE:
                     yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary())], ["t"])
 
     share = min(1.0, SAMPLE_SETS / max(1, rows))
@@ -255,7 +264,7 @@ def _signed(docs: DataFrame, plan: dict[int, bool], buckets: int) -> DataFrame:
 
 def _count_pairs(s: np.ndarray, k: np.ndarray):
     """Of the signatures s with classes k, sorted: rows (a, b, scheme, signatures shared) of those with FEW classes at
-    most, and rows (signature, class, scheme) of the others."""
+    most, and rows (signature, class, scheme, classes of the signature, the least of them) of the others."""
     first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     size = np.diff(np.r_[first, len(s)])
     pairs = []
@@ -273,11 +282,13 @@ def _count_pairs(s: np.ndarray, k: np.ndarray):
     else:
         pairs = np.zeros((4, 0), np.int64)
     many = np.repeat(size, size) > FEW
-    return pairs, np.stack([mix(s[many]).view(np.int64), k[many], (s[many] & _U(63)).astype(np.int64)])
+    of = lambda x: np.repeat(x, size)[many].astype(np.int64)
+    return pairs, np.stack([mix(s[many]).view(np.int64), k[many], (s[many] & _U(63)).astype(np.int64), of(size), of(k[first])])
 
 
 def _met(signed: DataFrame, parts: int) -> DataFrame:
-    """For pairs: a, b, scheme, shared (to be summed), grp null. For signatures with more than FEW classes: grp, a, scheme, b null."""
+    """For pairs: a, b, scheme, n = the signatures shared (to be summed), grp null. For signatures with more than FEW
+    classes: grp, a, b = the least of its classes, scheme, n = its classes."""
 
     def run(batches):
         from pointweave.llm import jaccard
@@ -294,16 +305,10 @@ def _met(signed: DataFrame, parts: int) -> DataFrame:
             return jaccard._count_pairs(s[fresh], k[fresh])
 
         def out(bucket, pairs, hot):
-            p, h = pairs.shape[1], hot.shape[1]
-            of_pair, of_hot = np.r_[np.ones(p, bool), np.zeros(h, bool)], np.r_[np.zeros(p, bool), np.ones(h, bool)]
+            no = np.r_[np.ones(pairs.shape[1], bool), np.zeros(hot.shape[1], bool)]
             grp = mix((hot[0] ^ np.int64(bucket)).view(_U)).view(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[np.zeros(p, np.int64), grp], mask=of_pair), pa.array(np.r_[pairs[0], hot[1]]), pa.array(np.r_[pairs[1], np.zeros(h, np.int64)], mask=of_hot),
-                    pa.array(np.r_[pairs[2], hot[2]]), pa.array(np.r_[pairs[3], np.ones(h, np.int64)]),
-                ],
-                ["grp", "a", "b", "scheme", "shared"],
-            )
+            columns = [np.r_[pairs[0], hot[1]], np.r_[pairs[1], hot[4]], np.r_[pairs[2], hot[2]], np.r_[pairs[3], hot[3]]]
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[np.zeros(pairs.shape[1], np.int64), grp], mask=no), *map(pa.array, columns)], ["grp", "a", "b", "scheme", "n"])
 
         now, sigs, keys = None, [], []
         for batch in batches:
@@ -317,7 +322,7 @@ def _met(signed: DataFrame, parts: int) -> DataFrame:
         if sigs:
             yield out(now, *done())
 
-    return signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "grp long, a long, b long, scheme long, shared long")
+    return signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "grp long, a long, b long, scheme long, n long")
 
 
 def _bound(plan: dict[int, bool], scheme, sizes_sum, empty):
@@ -329,158 +334,224 @@ def _bound(plan: dict[int, bool], scheme, sizes_sum, empty):
     return F.greatest(F.lit(1), F.get(m, at) - F.floor(F.floor(sizes_sum / 7) / F.get(part, at)) - empty)
 
 
-def _tokens(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
-    """key, n, tokens of the documents in ids (doc_id, one for each class); others may come along, which joins drop."""
+def _similar_sizes(x: str, y: str):
+    return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
+
+
+def _sides(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """pairs with the columns of info for a (with suffix _a) and for b, of similar sizes and in the smaller one's scheme."""
+    for side in ("a", "b"):
+        pairs = pairs.join(info.select(*(F.col(c).alias(f"{c}_{side}" if c != "key" else side) for c in info.columns)), side)
+    own = F.when(F.col("n_a") <= F.col("n_b"), F.col("band_a")).otherwise(F.col("band_b"))
+    return pairs.where(_similar_sizes("n_a", "n_b") & (F.col("scheme") == own))
+
+
+def _at(name: str, side: str):
+    """That side's value in the pair's scheme: of its own band or of the one below."""
+    return F.when(F.col(f"band_{side}") == F.col("scheme"), F.col(f"{name}0_{side}")).otherwise(F.col(f"{name}1_{side}"))
+
+
+def _families(met: DataFrame, classes: DataFrame, plan: dict[int, bool]) -> DataFrame:
+    """(key, family, h): the families of classes that may be similar, and how many signatures with many classes each has."""
+    facts = classes.select("key", "check", "n", "band", "e0", "e1")
+    top = F.array(*(F.lit(_EDGES[j + 1] - 1 + 4 * (_EDGES[j + 1] - 1) // 3) for j in range(len(_EDGES) - 1)))
+    partner = F.least(F.col("n") + F.floor(F.col("n") * 4 / 3), F.get(top, F.col("scheme").cast("int")))
+    empty = F.when(F.col("scheme") == F.col("band"), F.col("e0")).otherwise(F.col("e1"))
+
+    # the signatures with many classes that each class has in a scheme, from the rarest on
+    held = met.where("grp is not null").groupBy(F.col("a").alias("key"), "scheme").agg(F.sort_array(F.collect_list(F.struct("n", "grp", "b"))).alias("held"))
+    held = held.join(facts, "key").where("scheme in (band, band - 1)").withColumn("h", F.size("held").cast("long")).withColumn("least", _bound(plan, F.col("scheme"), partner, empty))
+    first = F.slice("held", F.lit(1), F.greatest(F.col("h") - F.col("least") + 1, F.lit(0)).cast("int"))
+    held = written(held.select("key", "check", "scheme", "band", "h", F.array_distinct(F.transform(first, lambda x: x["b"])).alias("labels")), "class-signatures")
+    of_scheme = lambda below: F.coalesce(F.max(F.when(F.col("scheme") == F.col("band") - below, F.col("h"))), F.lit(0)).alias(f"h{below}")
+    info = written(facts.join(held.groupBy("key", "check").agg(of_scheme(0), of_scheme(1)), ["key", "check"], "left").drop("check").na.fill(0, ["h0", "h1"]), "class-info")
+
+    shared = met.where("grp is null").groupBy("a", "b", "scheme").agg(F.sum("n").alias("shared"))
+    bound = _bound(plan, F.col("scheme"), F.col("n_a") + F.col("n_b"), F.least(_at("e", "a"), _at("e", "b")))
+    pairs = _sides(shared, info).where(F.col("shared") + F.least(_at("h", "a"), _at("h", "b")) >= bound).select("a", "b")
+    edges_ = pairs.unionByName(held.select(F.col("key").alias("a"), F.explode("labels").alias("b")))
+    found = components(edges_)
+    return found.select(F.col("node").alias("key"), F.col("component").alias("family")).join(info.groupBy("key").agg(F.max("h0").alias("h")), "key")
+
+
+def similar(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """A matrix of which sets of a are similar to which of b, or of a itself; sets are sorted arrays of shingles."""
+    every = a + (b or [])
+    k, cut = len(every), len(a)
+    size = np.array([len(t) for t in every], np.int64)
+    owner = np.repeat(np.arange(k), size)
+    flat = np.concatenate(every)
+    by = np.argsort(flat, kind="stable")
+    flat, owner = flat[by], owner[by]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    times = np.diff(np.r_[first, len(flat)])
+    common = np.zeros(k * k if b is None else cut * (k - cut), np.int64)
+    wide = k if b is None else k - cut
+
+    def add(x, y):  # owners of one shingle, x < y
+        if b is None:
+            at = x * wide + y
+        else:
+            across = (x < cut) & (y >= cut)
+            at = x[across] * wide + y[across] - cut
+        common[:] += np.bincount(at, minlength=len(common))
+
+    rare = min(k, 12)
+    for f in range(2, rare + 1):
+        at = first[times == f]
+        if len(at):
+            xs, ys = np.triu_indices(f, 1)
+            add(owner[(at[:, None] + xs).ravel()], owner[(at[:, None] + ys).ravel()])
+    common = common.reshape(-1, wide)
+    if b is None:
+        common = common + common.T
+    many = np.flatnonzero(times > rare)
+    step = max(1, CELLS // k)
+    for lo in range(0, len(many), step):
+        part = many[lo : lo + step]
+        n = times[part]
+        at = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        x = np.zeros((k, len(part)), np.float32)
+        x[owner[at], np.repeat(np.arange(len(part)), n)] = 1
+        common = common + (x @ x.T if b is None else x[:cut] @ x[cut:].T).astype(np.int64)
+    na, nb = size[:cut, None], size[None, :] if b is None else size[None, cut:]
+    return 100 * common >= 75 * (na + nb - common)
+
+
+def forest(linked: np.ndarray, across: bool) -> np.ndarray:
+    """Pairs (member, least member of its component) that keep the components of a matrix of links, over rows or, with
+    across, over rows and then columns."""
+    rows, columns = linked.shape
+    label = np.arange(rows + columns if across else rows)
+    far = len(label)
+    while True:
+        if across:
+            top, side = label[:rows], label[rows:]
+            new = np.r_[np.minimum(top, np.where(linked, side[None, :], far).min(1, initial=far)), np.minimum(side, np.where(linked, top[:, None], far).min(0, initial=far))]
+        else:
+            new = np.minimum(label, np.where(linked, label[None, :], far).min(1, initial=far))
+        new = new[new]
+        if (new == label).all():
+            return np.stack([np.flatnonzero(label != np.arange(len(label))), label[label != np.arange(len(label))]])
+        label = new
+
+
+def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): links that keep the components of the similar classes that share a tile.
+
+    members: key, check, node, doc_id (of a document with that set), tiles (array of struct tile, side). Pairs within
+    side 0, if a tile has no side 1, or else those between the sides are looked at."""
     spark = session(docs)
-    bitmap, bits = repeated_filter(ids.select(F.xxhash64("doc_id").alias("h")), "h", rows, least=1)
+    some = written(members.select("key", "check", "node", F.col("doc_id").alias("_of"), "tiles"), "members")
+    bitmap, bits = repeated_filter(some.select(F.xxhash64("_of").alias("h")), "h", some.count(), least=1)
     held = spark.sparkContext.broadcast(bitmap)
 
-    def run(batches):
+    @F.pandas_udf("boolean")
+    def maybe(h):
+        import pandas as pd
+
+        return pd.Series(maybe_repeated(h.to_numpy(), held.value, bits))
+
+    def shingled(batches):
         from pointweave.llm import jaccard
 
         for b in batches:
-            b = b.filter(pa.array(maybe_repeated(b.column("h").to_numpy(zero_copy_only=False), held.value, bits)))
-            ids, texts = b.column("doc_id"), b.column("text").cast(pa.binary()).to_pylist()
-            at, key, n, tokens = [], [], [], []
-            for i, t in jaccard.sets(texts):
-                if len(t):
-                    at.append(i)
-                    key.append(jaccard.set_keys(t)[0])
-                    n.append(len(t))
+            ours, tokens = [], []
+            keys, checks = b.column("key").to_pylist(), b.column("check").to_pylist()
+            for i, t in jaccard.sets(b.column("text").cast(pa.binary()).to_pylist()):
+                if len(t) and jaccard.set_keys(t) == (keys[i], checks[i]):
+                    ours.append(i)
                     tokens.append(t.tobytes())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "key", "n", "tokens"])
-
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("doc_id"))
-    return hashed.mapInArrow(run, "doc_id long, key long, n long, tokens binary")
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(ours, pa.int64())) for c in ("node", "tiles")), pa.array(tokens, pa.binary())], ["node", "tiles", "tokens"])
 
+    def verify(batches):
+        from pointweave.llm import jaccard
 
-def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs of class keys (a, b) whose full sets are similar."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    sizes = classes.select("key", "first")
-    active = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sizes, "key").select(F.col("first").alias("doc_id"))
-    active = written(active, "active")
-    of_class = sizes.withColumnRenamed("key", "_key")
+        def done():
+            sides = [sorted(x.items()) for x in group]
+            if len(sides[0]) < (1 if sides[1] else 2):
+                return None
+            nodes = np.array([n for x in sides for n, _ in x], np.int64)
+            linked = jaccard.similar(*([t for _, t in x] or None for x in sides))
+            x, y = jaccard.forest(linked, bool(sides[1]))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
+
+        now, group = None, ({}, {})
+        for batch in batches:
+            for tile, side, node, tokens in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "node", "tokens"))):
+                if tile != now:
+                    if now is not None and (links := done()) is not None:
+                        yield links
+                    now, group = tile, ({}, {})
+                group[side][node] = np.frombuffer(tokens, _U)  # rows with one set and one doc_id come once
+        if now is not None and (links := done()) is not None:
+            yield links
+
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(maybe(F.xxhash64(F.col("doc_id"))))
     # a class all of whose rows have no doc_id is found by the null
-    found = _tokens(docs, active, active.count()).join(of_class, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "tokens").dropDuplicates(["key"])
+    found = hashed.join(some, F.col("doc_id").eqNullSafe(F.col("_of"))).select("text", "key", "check", "node", "tiles")
+    found = found.mapInArrow(shingled, "node long, tiles array<struct<tile:string,side:int>>, tokens binary")
+    dealt = found.select("node", "tokens", F.inline("tiles")).repartition("tile").sortWithinPartitions("tile")
+    return written(dealt.select("tile", "side", "node", "tokens").mapInArrow(verify, "a long, b long"), "links")
 
-    def verify(batches):
-        for b in batches:
-            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-            keep = np.zeros(len(x), bool)
-            last, s = None, None
-            for i, (p, q) in enumerate(zip(x, y)):
-                if p is not last:
-                    last, s = p, np.frombuffer(p, _U)
-                t = np.frombuffer(q, _U)
-                both = np.concatenate([s, t])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= 75 * (len(s) + len(t) - common)
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
-
-    half = pairs.join(found.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-    whole = half.join(found.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a")
-    return written(whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
 
+def _blocks(count, largest):
+    """How many blocks so many classes of at most so many shingles are dealt into."""
+    return F.ceil(count / F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / largest)))).cast("long")
 
-def _similar_sizes(x: str, y: str):
-    return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
 
+def _tile(*parts):
+    return F.concat_ws(":", *(F.col(p) if isinstance(p, str) else p for p in parts))
 
-def _sides(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """pairs with the columns of info for a (with suffix _a) and for b, of similar sizes and in the smaller one's scheme."""
-    for side in ("a", "b"):
-        pairs = pairs.join(info.select(*(F.col(c).alias(f"{c}_{side}" if c != "key" else side) for c in info.columns)), side)
-    own = F.when(F.col("n_a") <= F.col("n_b"), F.col("band_a")).otherwise(F.col("band_b"))
-    return pairs.where(_similar_sizes("n_a", "n_b") & (F.col("scheme") == own))
 
+def _one_tile_each(members: DataFrame) -> DataFrame:
+    """The members with the tile of their family's block; hubs of families of several blocks are in all of these."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    own = F.array(block)
+    hubs = members.where("blocks > 1").groupBy("family", "band").agg(F.max(F.struct("h", "node"))["node"].alias("_hub")).select("_hub").distinct()
+    marked = members.join(hubs, F.col("node") == F.col("_hub"), "left")
+    places = F.when(F.col("_hub").isNull(), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    return marked.withColumn("tiles", F.transform(places, lambda i: F.struct(_tile("family", i).alias("tile"), F.lit(0).alias("side"))))
 
-def _at(name: str, side: str):
-    """That side's value in the pair's scheme: of its own band or of the one below."""
-    return F.when(F.col(f"band_{side}") == F.col("scheme"), F.col(f"{name}0_{side}")).otherwise(F.col(f"{name}1_{side}"))
 
+def _tiles_across(members: DataFrame, comps: DataFrame, total: int) -> DataFrame:
+    """The members of families of several blocks that are not one component yet, with the tiles in which every two
+    classes of different components (and similar enough sizes) meet.
 
-def _pair_bound(plan: dict[int, bool]):
-    return _bound(plan, F.col("scheme"), F.col("n_a") + F.col("n_b"), F.least(_at("e", "a"), _at("e", "b")))
+    A family falls into parts by band, and by whether a class is in the family's largest component. Each part is dealt
+    into blocks; two blocks are a tile, but for blocks of the largest component with one another."""
+    labelled = members.where("blocks > 1").join(comps.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = labelled.groupBy("family", "component").agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.groupBy("family").agg(F.max(F.struct("_n", "component"))["component"].alias("_largest"), F.count(F.lit(1)).alias("_comps"), F.sum("_n").alias("_all"))
+    largest = written(largest.where("_comps > 1"), "open-families")
+    labelled = join_groups(labelled, largest, ["family"], "_all", total).where("_largest is not null")
+    labelled = labelled.withColumn("part", F.col("band") * 2 + (F.col("component") == F.col("_largest")).cast("long"))
+    parts = written(labelled.groupBy("family", "part").agg(F.count(F.lit(1)).alias("_n"), F.max("n").alias("_most")).select("family", "part", _blocks(F.col("_n"), F.col("_most")).alias("_blocks")), "family-parts")
+    one, other = parts.toDF("family", "part", "_own"), parts.toDF("family", "_with", "_others")
+    near = F.abs(F.floor(F.col("part") / 2) - F.floor(F.col("_with") / 2)) <= 1
+    meet = one.join(other, "family").where(near & ~((F.col("part") % 2 == 1) & (F.col("_with") % 2 == 1)))
+    meet = meet.groupBy("family", "part").agg(F.first("_own").alias("_own"), F.collect_list(F.struct("_with", "_others")).alias("_meets"))
+    placed = labelled.join(meet, ["family", "part"]).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_own")))
 
+    def tiles(m):
+        def at(j):
+            mine, theirs = _tile("part", "_block"), F.concat_ws(":", m["_with"], j)
+            before = (F.col("part") < m["_with"]) | (F.col("part") == m["_with"]) & (F.col("_block") <= j)
+            pair = F.when(before, F.concat_ws("/", mine, theirs)).otherwise(F.concat_ws("/", theirs, mine))
+            return F.struct(F.concat_ws("=", F.col("family"), pair).alias("tile"), F.when(before, 0).otherwise(1).alias("side"))
 
-def _crossing(hot: DataFrame, comps: DataFrame, info: DataFrame, plan: dict[int, bool]) -> DataFrame:
-    """Pairs across components that share enough of the signatures in hot (grp, a, scheme, h, least).
+        return F.transform(F.sequence(F.lit(0).cast("long"), m["_others"] - 1), at)
 
-    least is the fewest that a class must share with any partner, so of its signatures, taken from the rarest on, only
-    the first h - least + 1 need to be looked at: two classes that share enough share one of these. A group's members
-    bring all their signatures along; the counts of a group's pairs are taken in blocks, and only pairs that reach the
-    bound leave the task."""
-    parts_of = hot.join(comps.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    # only signatures of several components can be shared by a pair across components
-    rare = parts_of.groupBy("grp").agg(F.count(F.lit(1)).alias("_f"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("grp", "_f")
-    labelled = parts_of.join(rare, "grp").groupBy("a", "scheme", "component").agg(F.sort_array(F.collect_list(F.struct("_f", "grp"))).alias("_s"), F.max("least").alias("least"))
-    sized = labelled.join(info.select(F.col("key").alias("a"), "n", "band", "e0", "e1"), "a").withColumn("e", F.when(F.col("band") == F.col("scheme"), F.col("e0")).otherwise(F.col("e1")))
-    kept = sized.select("a", "scheme", "component", "n", "e", "band", F.col("_s._f").alias("freq"), F.col("_s.grp").alias("sigs"), F.greatest(F.size("_s") - F.col("least") + 1, F.lit(0)).cast("int").alias("_k"))
-    members = kept.where("_k > 0").withColumn("grp", F.explode(F.slice("sigs", F.lit(1), F.col("_k"))))
+    return placed.withColumn("tiles", F.flatten(F.transform("_meets", tiles)))
 
-    def run(batches):
-        from pointweave.llm import jaccard
 
-        now, held = None, []
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("grp", "a", "scheme", "component", "n", "e", "band", "freq", "sigs"))):
-                if row[0] != now and held:
-                    yield from jaccard._reach_bound(now, held, plan)
-                    held = []
-                now = row[0]
-                held.append(row[1:])
-        if held:
-            yield from jaccard._reach_bound(now, held, plan)
-
-    dealt = members.repartition("grp").sortWithinPartitions("grp").select("grp", "a", "scheme", "component", "n", "e", "band", "freq", "sigs")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-#: The most members of a group whose pairs are counted at once, and the most cells of a block.
-BLOCK, CELLS = 512, 1 << 23
-
-
-def _reach_bound(grp: int, members: list[tuple], plan: dict[int, bool]):
-    """Yields the pairs across components, of similar sizes and in the right scheme, whose shared signatures reach the
-    bound; of the groups in which a pair meets only the first, in the order of the prefixes, yields it."""
-    if len({m[2] for m in members}) < 2:
-        return
-    a, scheme, comp, n, e, band_ = (np.array([m[i] for m in members], np.int64) for i in range(6))
-    sizes = [len(m[7]) for m in members]
-    every, first, code = np.unique(np.concatenate([np.array(m[7], np.int64) for m in members]), return_index=True, return_inverse=True)
-    by = np.lexsort((every, np.concatenate([np.array(m[6], np.int64) for m in members])[first]))
-    place = np.empty(len(by), np.int64)
-    place[by] = np.arange(len(by))
-    flat, own_place = place[code], int(place[np.searchsorted(every, grp)])
-    starts = np.r_[0, np.cumsum(sizes)]
-    width = int(flat.max()) + 1
-    m_of, part = np.array([segments(j, plan.get(j, False)) for j in range(len(_EDGES) - 1)]), np.array([2 if plan.get(j, False) else 1 for j in range(len(_EDGES) - 1)])
-
-    def matrix(lo: int, hi: int) -> np.ndarray:
-        x = np.zeros((hi - lo, width), np.float32)
-        x[np.repeat(np.arange(hi - lo), sizes[lo:hi]), flat[starts[lo] : starts[hi]]] = 1
-        return x
-
-    block = max(16, min(BLOCK, CELLS // width))
-    for lo in range(0, len(members), block):
-        hi = min(lo + block, len(members))
-        left = matrix(lo, hi)
-        for lo2 in range(lo, len(members), block):
-            hi2 = min(lo2 + block, len(members))
-            right = left if lo2 == lo else matrix(lo2, hi2)
-            shared = left @ right.T - width * (left[:, :own_place] @ right[:, :own_place].T > 0)
-            i, j = slice(lo, hi), slice(lo2, hi2)
-            n1, n2 = n[i, None], n[None, j]
-            own = np.where(n1 <= n2, band_[i, None], band_[None, j])
-            bound = np.maximum(1, m_of[scheme[i, None]] - (n1 + n2) // 7 // part[scheme[i, None]] - np.minimum(e[i, None], e[None, j]))
-            ok = (shared >= bound) & (comp[i, None] != comp[None, j]) & (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)) & (own == scheme[i, None]) & (scheme[i, None] == scheme[None, j])
-            x, y = np.nonzero(ok)
-            x, y = a[lo + x], a[lo2 + y]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+def _members(classes: DataFrame, families: DataFrame, total: int) -> DataFrame:
+    """key, check, node, doc_id, family, n, band, h, and blocks: how many blocks the family has."""
+    of = classes.join(families, "key").select("key", "check", "node", F.col("first").alias("doc_id"), "family", "n", "band", "h")
+    of = written(of, "family-members")
+    sizes = of.groupBy("family").agg(F.count(F.lit(1)).alias("_n"), F.max("n").alias("_most"))
+    sizes = sizes.select("family", "_n", _blocks(F.col("_n"), F.col("_most")).alias("blocks"))
+    return written(join_groups(of, sizes.where("_n > 1"), ["family"], "_n", total).where("blocks is not null"), "family-members")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -488,9 +559,22 @@ def link(docs: DataFrame) -> DataFrame:
     return _linked(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def _classes(some: DataFrame) -> DataFrame:
+    """One row for each set. node is its number in links: the key, or the check where several sets have one key."""
+    least = [F.min(c).alias(c) for c in ("n", "band", "e0", "e1")]
+    classes = written(some.groupBy("key", "check").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), *least), "classes")
+    twins = written(classes.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", F.lit(True).alias("_twin")), "key-twins")
+    if twins.isEmpty():
+        return classes.withColumn("node", F.col("key"))
+    classes = written(classes.join(twins, "key", "left").withColumn("node", F.when(F.col("_twin"), F.col("check")).otherwise(F.col("key"))).drop("_twin"), "classes")
+    if not classes.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        raise RuntimeError("different sets have one key and one check: change the constants of set_keys")
+    return classes
+
+
 def _linked(docs: DataFrame) -> DataFrame:
-    """link's columns, the key of each row's set, and the key of the set that stays of its component: of those with the
-    smallest doc_id (null only if all are) the least. Rows without shingles have no keys."""
+    """link's columns, the key and check of each row's set, and whether it is the set that stays of its component: of
+    those with the smallest doc_id (null only if all are) the least. Rows without shingles have no key."""
     spark = session(docs)
     ship(spark)
     rows = docs.count()
@@ -498,70 +582,47 @@ def _linked(docs: DataFrame) -> DataFrame:
     slim = written(_slim(docs, plan), "shingle-sets")
     n = slim.agg(F.sum("n")).first()[0] or 0
     some = slim.where("n > 0")
-    least = lambda *names: [F.min(c).alias(c) for c in names]
-    classes = some.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.min("check").alias("c1"), F.max("check").alias("c2"), *least("n", "band", "e0", "e1"))
-    classes = written(classes, "classes")
-    if classes.where("c1 <> c2").limit(1).count():
-        raise RuntimeError("two different sets have one key: change the constants of set_keys")
+    classes = _classes(some)
     buckets = 64
     while buckets * BUCKET_ROWS < n and buckets < 1 << 16:
         buckets *= 2
     parts = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = written(_met(_signed(docs, plan, buckets), parts), "met")
-
-    # how many signatures with many classes each class has, in its two schemes
-    hot = met.where("grp is not null").select("grp", "a", "scheme")
-    counts = hot.groupBy(F.col("a").alias("key"), "scheme").agg(F.count(F.lit(1)).alias("_c")).join(classes.select("key", "band"), "key")
-    counts = counts.groupBy("key").agg(*(F.coalesce(F.max(F.when(F.col("scheme") == F.col("band") - below, F.col("_c"))), F.lit(0)).alias(f"h{below}") for below in (0, 1)))
-    info = classes.select("key", "n", "band", "e0", "e1").join(counts, "key", "left").na.fill(0, ["h0", "h1"])
-    info = written(info, "class-info")
-
-    # pairs that share signatures of few classes
-    pairs = met.where("b is not null").groupBy("a", "b", "scheme").agg(F.sum("shared").alias("shared"))
-    pairs = _sides(pairs, info).where(F.col("shared") + F.least(_at("h", "a"), _at("h", "b")) >= _pair_bound(plan)).select("a", "b")
-
-    # classes that may have partners only in signatures of many classes
-    partner = F.least(F.col("n") + F.floor(F.col("n") * 4 / 3), F.get(F.array(*(F.lit(_EDGES[j + 1] - 1 + 4 * (_EDGES[j + 1] - 1) // 3) for j in range(len(_EDGES) - 1))), F.col("scheme").cast("int")))
-    heavy = [info.where(f"h{below} > 0").withColumn("scheme", F.col("band") - below).withColumn("least", _bound(plan, F.col("scheme"), partner, F.col(f"e{below}"))).where(F.col(f"h{below}") >= F.col("least")).select(F.col("key").alias("a"), "scheme", F.col(f"h{below}").alias("h"), "least") for below in (0, 1)]
-    hot = written(hot.join(heavy[0].unionByName(heavy[1]), ["a", "scheme"]), "hot")
-    # the text that the others of a group were copied from shares more of these signatures than any of its copies
-    hubs = hot.groupBy("grp").agg(F.max(F.struct("h", "a"))["a"].alias("hub"), F.min("a").alias("lo"))
-    stars = hot.join(hubs, "grp").select("scheme", F.col("a").alias("_x"), F.explode(F.array("hub", "lo")).alias("_y")).where("_x <> _y")
-    stars = stars.select("scheme", F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
-    links = _links(pairs.unionByName(_sides(stars, info).select("a", "b")), docs, classes)
+    total = max(rows, 1)
+    members = _members(classes, _families(met, classes, plan), total)
+    links = _verified(docs, _one_tile_each(members))
     comps = components(links)
-    crossing = written(_crossing(hot, comps, info, plan), "crossing")
-    if crossing.limit(1).count():
-        more = _links(crossing, docs, classes)
-        if more.limit(1).count():
+    if not members.where("blocks > 1").isEmpty():
+        apart = _tiles_across(members, comps, total)
+        more = _verified(docs, apart)
+        if not more.isEmpty():
             comps = components(links.unionByName(more))
 
-    comps = comps.select(F.col("node").alias("key"), "component")
-    of = classes.join(comps, "key", "left").select("key", "first", "size", F.coalesce("component", "key").alias("component"))
-    heads = of.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("_none"), "first", "key")).alias("_head"), F.count(F.lit(1)).alias("_members"))
-    heads = heads.select("component", F.col("_head.first").alias("component_id"), F.col("_head.key").alias("head"), "_members")
-    total = max(rows, 1)
-    resolved = join_groups(of.select("key", "size", "component"), heads, ["component"], "_members", total).select("key", "size", "component_id", "head")
-    joined = join_groups(some.select("doc_id", "n", "key"), resolved, ["key"], "size", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "key", "head")
+    comps = comps.select("node", "component")
+    of = classes.join(comps, "node", "left").select("key", "check", "first", "size", F.coalesce("component", "node").alias("component"))
+    heads = of.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("_none"), "first", "key", "check")).alias("_head"), F.count(F.lit(1)).alias("_members"))
+    heads = heads.select("component", F.col("_head.first").alias("component_id"), F.col("_head.key").alias("_hk"), F.col("_head.check").alias("_hc"), "_members")
+    stays = (F.col("key") == F.col("_hk")) & (F.col("check") == F.col("_hc"))
+    resolved = join_groups(of.select("key", "check", "size", "component"), heads, ["component"], "_members", total).select("key", "check", "size", "component_id", stays.alias("head"))
+    joined = join_groups(some.select("doc_id", "n", "key", "check"), resolved, ["key", "check"], "size", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "key", "check", "head")
     none = F.lit(None).cast("long")
-    return joined.unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("key"), none.alias("head")))
+    return joined.unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("key"), none.alias("check"), F.lit(True).alias("head")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one of every component, with the smallest doc_id, and all without shingles. All columns are kept.
+    """The rows of docs that stay: one of every component, with the smallest doc_id, and all without shingles. All
+    columns are kept, whatever their names.
 
-    Rows whose doc_id a Bloom filter of the doubtful ones lacks pass straight through; the others meet the exact list.
-    A doc_id (null or repeated) of which not all rows go or stay is settled by the rows' sets; of rows equal in both one
-    stays, any one."""
+    Rows whose doc_id a Bloom filter of the doubtful ones lacks pass straight through; the others are settled by doc_id
+    and set, so that rows with one doc_id (null or repeated) and different texts don't share a fate. Of rows equal in
+    both one stays, any one."""
     spark = session(docs)
     found = written(_linked(docs), "components")
-    stays = F.col("key").isNull() | (F.col("key") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
-    marked = found.select("doc_id", "key", stays.alias("_stays"))
-    ids = marked.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.count(F.lit(1)).alias("_rows"), F.count(F.when(F.col("_stays"), 1)).alias("_kept"), F.count(F.when(F.col("_stays"), F.col("key"))).alias("_keyed")
-    )
-    doubtful = ids.where((F.col("_kept") < F.col("_rows")) | (F.col("_keyed") > 1)).select("_id", (F.col("_kept") > 0).alias("_some"))
-    doubtful = written(doubtful, "doubtful-ids")
+    stays = F.col("key").isNull() | F.col("head") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    marked = found.select("doc_id", "key", "check", stays.alias("stays"))
+    # of a doc_id: all its rows, and those that stay for certain as they are
+    ids = marked.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"), F.count(F.when(F.col("stays"), 1)).alias("_kept"), F.count(F.when(F.col("stays"), F.col("key"))).alias("_keyed"))
+    doubtful = written(ids.where((F.col("_kept") < F.col("_rows")) | (F.col("_keyed") > 1)).select("_id", (F.col("_kept") > 0).alias("_some")), "doubtful-ids")
     bitmap, bits = repeated_filter(doubtful.select(F.xxhash64("_id").alias("h")), "h", doubtful.count(), least=1)
     held = spark.sparkContext.broadcast(bitmap)
 
@@ -571,30 +632,29 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
         return pd.Series(maybe_repeated(h.to_numpy(), held.value, bits))
 
-    of_id = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    tested = docs.withColumn("_maybe", maybe(F.xxhash64(F.col("doc_id").cast("long"))))
-    straight = tested.where(~F.col("_maybe")).select(*docs.columns)
-    unsure = tested.where("_maybe").join(doubtful, of_id, "left_anti")
-    out = straight.unionByName(unsure.select(*docs.columns))
+    wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own"), F.col("text").alias("said"))
+    tested = wrapped.withColumn("maybe", maybe(F.xxhash64("own")))
+    of_id = F.col("own").eqNullSafe(F.col("_id"))
+    out = tested.where(~F.col("maybe")).select("row").unionByName(tested.where("maybe").join(doubtful, of_id, "left_anti").select("row"))
     some = doubtful.where("_some").select("_id")
-    if some.limit(1).count() == 0:
-        return out
+    if some.isEmpty():
+        return out.select("row.*")
 
-    @F.pandas_udf("long")
-    def set_key(text):
+    @F.pandas_udf("string")
+    def set_name(text):
         import pandas as pd
 
         from pointweave.llm import jaccard
 
-        texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in text]
-        keys = [None] * len(texts)
-        for i, t in jaccard.sets(texts):
+        names = [None] * len(text)
+        for i, t in jaccard.sets([None if t is None else t.encode("utf-8", "surrogatepass") for t in text]):
             if len(t):
-                keys[i] = jaccard.set_keys(t)[0]
-        return pd.Series(keys, dtype="Int64")
-
-    kept = marked.where("_stays").join(some, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").where("key is not null").select(F.col("doc_id").alias("_id"), F.col("key").alias("_of")).distinct()
-    mixed = tested.where("_maybe").join(some, of_id, "left_semi").withColumn("_key", set_key("text"))
-    blank = mixed.where("_key is null")
-    full = mixed.where("_key is not null").join(kept, of_id & (F.col("_key") == F.col("_of")), "left_semi").withColumn("_own", F.col("doc_id").cast("long")).dropDuplicates(["_own", "_key"])
-    return out.unionByName(blank.select(*docs.columns)).unionByName(full.select(*docs.columns))
+                names[i] = "{}:{}".format(*jaccard.set_keys(t))
+        return pd.Series(names, dtype=object)
+
+    kept = marked.where("stays and key is not null").join(some, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = kept.select(F.col("doc_id").alias("_id"), F.concat_ws(":", "key", "check").alias("_set")).distinct()
+    mixed = tested.where("maybe").join(some, of_id, "left_semi").withColumn("set", set_name("said"))
+    blank = mixed.where("set is null")
+    full = mixed.where("set is not null").join(kept, of_id & (F.col("set") == F.col("_set")), "left_semi").dropDuplicates(["own", "set"])
+    return out.unionByName(blank.select("row")).unionByName(full.select("row")).select("row.*")
