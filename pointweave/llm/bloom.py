@@ -112,7 +112,7 @@ def repeated_filter(df: DataFrame, column: str, rows: int, max_bits: int = MAX_B
         .mapInArrow(merge, "segment long, plane binary")
     )
     out = np.zeros(bits // 8, np.uint8)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():  # at most max_bits, whatever the input
         out[r.segment * (SEGMENT // 8) : (r.segment + 1) * (SEGMENT // 8)] = np.frombuffer(r.plane, np.uint8)
     return out, bits
 

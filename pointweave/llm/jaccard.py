@@ -16,9 +16,11 @@ Equal sets are one class and take part once. Signatures are dealt by their leadi
 one signature: at least m - H (or m - H / 2) less the empty parts. So where a signature has up to FEW classes all its
 pairs are counted, and a pair whose count, with what signatures of more classes could add, reaches this bound is an edge.
 Signatures with more classes are not paired. A class that could reach its bound by these alone takes them from the rarest
-on; two such classes that share enough share one of the first h - bound + 1, so an edge from the class to the least
-class of each of these keeps all its possible partners in reach. The components of these edges are families: every pair
-of similar classes lies in one, and no group has given more edges than members.
+on; two such classes that share enough share one of the first h - bound + 1, so edges from the class to the least class
+of each of these bring all its possible partners into one component. Within such a component, in tiles, the signatures
+that classes share are counted, and a spanning forest of the pairs that reach the bound gives further edges. The
+components of all edges are families: every pair of similar classes lies in one, and no group has given more edges than
+members.
 
 Families are verified on the full sets, in tiles of bounded size. A tile counts all its pairs' common shingles at once
 and lets out a spanning forest of the similar ones. A family of one tile is done with that. The classes of a larger one
@@ -214,7 +216,7 @@ def _sampled_sets(docs: DataFrame, rows: int) -> list[np.ndarray]:
 
     share = min(1.0, SAMPLE_SETS / max(1, rows))
     picked = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(14)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    return [np.frombuffer(r.t, _U) for r in picked.select("text").mapInArrow(run, "t binary").toLocalIterator()]
+    return [np.frombuffer(r.t, _U) for r in picked.select("text").mapInArrow(run, "t binary").collect()]
 
 
 def _signed(docs: DataFrame, plan: dict[int, bool], buckets: int) -> DataFrame:
@@ -327,10 +329,9 @@ def _met(signed: DataFrame, parts: int) -> DataFrame:
 
 def _bound(plan: dict[int, bool], scheme, sizes_sum, empty):
     """The fewest signatures that two similar sets of that scheme share, at least one."""
-    top = max(max(plan, default=0) + 2, 1)
-    m = F.array(*(F.lit(segments(j, plan.get(j, False))) for j in range(top)))
-    part = F.array(*(F.lit(2 if plan.get(j, False) else 1) for j in range(top)))
-    at = F.least(scheme, F.lit(top - 1)).cast("int")
+    m = F.array(*(F.lit(segments(j, plan.get(j, False))) for j in range(len(_EDGES) - 1)))
+    part = F.array(*(F.lit(2 if plan.get(j, False) else 1) for j in range(len(_EDGES) - 1)))
+    at = scheme.cast("int")
     return F.greatest(F.lit(1), F.get(m, at) - F.floor(F.floor(sizes_sum / 7) / F.get(part, at)) - empty)
 
 
@@ -360,52 +361,103 @@ def _families(met: DataFrame, classes: DataFrame, plan: dict[int, bool]) -> Data
 
     # the signatures with many classes that each class has in a scheme, from the rarest on
     held = met.where("grp is not null").groupBy(F.col("a").alias("key"), "scheme").agg(F.sort_array(F.collect_list(F.struct("n", "grp", "b"))).alias("held"))
-    held = held.join(facts, "key").where("scheme in (band, band - 1)").withColumn("h", F.size("held").cast("long")).withColumn("least", _bound(plan, F.col("scheme"), partner, empty))
-    first = F.slice("held", F.lit(1), F.greatest(F.col("h") - F.col("least") + 1, F.lit(0)).cast("int"))
-    held = written(held.select("key", "check", "scheme", "band", "h", F.array_distinct(F.transform(first, lambda x: x["b"])).alias("labels")), "class-signatures")
+    held = held.join(facts, "key").where("scheme in (band, band - 1)").withColumn("h", F.size("held").cast("long")).withColumn("e", empty).withColumn("least", _bound(plan, F.col("scheme"), partner, empty))
+    heavy = lambda x: F.when(F.col("h") >= F.col("least"), x)
+    first = F.slice("held", F.lit(1), (F.col("h") - F.col("least") + 1).cast("int"))
+    held = held.select("key", "check", "scheme", "band", "n", "e", "h", heavy(F.array_distinct(F.transform(first, lambda x: x["b"]))).alias("labels"), heavy(F.transform("held", lambda x: x["grp"])).alias("grps"))
+    held = written(held, "class-signatures")
     of_scheme = lambda below: F.coalesce(F.max(F.when(F.col("scheme") == F.col("band") - below, F.col("h"))), F.lit(0)).alias(f"h{below}")
     info = written(facts.join(held.groupBy("key", "check").agg(of_scheme(0), of_scheme(1)), ["key", "check"], "left").drop("check").na.fill(0, ["h0", "h1"]), "class-info")
 
     shared = met.where("grp is null").groupBy("a", "b", "scheme").agg(F.sum("n").alias("shared"))
     bound = _bound(plan, F.col("scheme"), F.col("n_a") + F.col("n_b"), F.least(_at("e", "a"), _at("e", "b")))
     pairs = _sides(shared, info).where(F.col("shared") + F.least(_at("h", "a"), _at("h", "b")) >= bound).select("a", "b")
-    edges_ = pairs.unionByName(held.select(F.col("key").alias("a"), F.explode("labels").alias("b")))
-    found = components(edges_)
+    found = components(pairs.unionByName(_counted(held.where("grps is not null"), plan)))
     return found.select(F.col("node").alias("key"), F.col("component").alias("family")).join(info.groupBy("key").agg(F.max("h0").alias("h")), "key")
 
 
-def similar(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
-    """A matrix of which sets of a are similar to which of b, or of a itself; sets are sorted arrays of shingles."""
+def _counted(heavy: DataFrame, plan: dict[int, bool]) -> DataFrame:
+    """(a, b): a spanning forest of the pairs of heavy classes that share enough signatures with many classes."""
+    near = components(heavy.select(F.col("key").alias("a"), F.explode("labels").alias("b")))
+    heavy = written(heavy.join(near.select(F.col("node").alias("key"), F.col("component").alias("near")), "key").select("key", "near", "scheme", "band", "n", "e", "h", "grps"), "heavy-classes")
+    sizes = heavy.groupBy("near", "scheme").agg(F.count(F.lit(1)).alias("_n"), F.max("h").alias("_most")).where("_n > 1")
+    sizes = sizes.select("near", "scheme", "_n", _blocks(F.col("_n"), F.col("_most")).alias("blocks"))
+    dealt = join_groups(heavy, sizes, ["near", "scheme"], "_n", heavy.count()).where("blocks is not null").withColumn("_own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    tile = lambda j: _tile("near", "scheme", F.least("_own", j), F.greatest("_own", j))
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(tile(j).alias("tile"), F.when(F.col("_own") <= j, 0).otherwise(1).alias("side")))
+    dealt = dealt.select("key", "scheme", "band", "n", "e", "grps", F.inline(tiles)).repartition("tile").sortWithinPartitions("tile")
+
+    def count(batches):
+        from pointweave.llm import jaccard
+
+        parts = (np.array([jaccard.segments(j, plan.get(j, False)) for j in range(len(jaccard._EDGES) - 1)]), np.array([2 if plan.get(j, False) else 1 for j in range(len(jaccard._EDGES) - 1)]))
+
+        def done(sides):
+            if len(sides[0]) < (1 if sides[1] else 2):
+                return None
+            shared = jaccard.common(*([np.sort(np.array(r[-1], np.int64)) for r in x] or None for x in sides))
+            one, two = (np.array([r[:-1] for r in (x or sides[0])], np.int64).T for x in sides)
+            return jaccard._enough(shared, one, two, parts, bool(sides[1]))
+
+        for sides in jaccard._tiles(batches, ("key", "scheme", "band", "n", "e", "grps")):
+            if (links := done(sides)) is not None:
+                yield links
+
+    return dealt.select("tile", "side", "key", "scheme", "band", "n", "e", "grps").mapInArrow(count, "a long, b long")
+
+
+def _tiles(batches, columns: tuple[str, ...]):
+    """Yields for each tile its rows of side 0 and of side 1; batches are sorted by tile."""
+    now, sides = None, ([], [])
+    for batch in batches:
+        for tile, side, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", *columns))):
+            if tile != now:
+                if now is not None:
+                    yield sides
+                now, sides = tile, ([], [])
+            sides[side].append(row)
+    if now is not None:
+        yield sides
+
+
+def _enough(shared: np.ndarray, one: np.ndarray, two: np.ndarray, parts, across: bool) -> pa.RecordBatch:
+    """The forest of the pairs that share enough signatures; one, two: key, scheme, band, n, e of rows and columns."""
+    n1, n2 = one[3][:, None], two[3][None, :]
+    scheme = one[1][:, None]
+    own = np.where(n1 <= n2, one[2][:, None], two[2][None, :])
+    bound = np.maximum(1, parts[0][scheme] - (n1 + n2) // 7 // parts[1][scheme] - np.minimum(one[4][:, None], two[4][None, :]))
+    x, y = forest((shared >= bound) & (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)) & (own == scheme), across)
+    keys = np.r_[one[0], two[0]] if across else one[0]
+    return pa.RecordBatch.from_arrays([pa.array(keys[x]), pa.array(keys[y])], ["a", "b"])
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """How many elements each set of a has in common with each of b, or of a itself (where the diagonal means nothing);
+    sets are sorted arrays of distinct integers."""
     every = a + (b or [])
     k, cut = len(every), len(a)
-    size = np.array([len(t) for t in every], np.int64)
-    owner = np.repeat(np.arange(k), size)
+    owner = np.repeat(np.arange(k), [len(t) for t in every])
     flat = np.concatenate(every)
     by = np.argsort(flat, kind="stable")
     flat, owner = flat[by], owner[by]
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
     times = np.diff(np.r_[first, len(flat)])
-    common = np.zeros(k * k if b is None else cut * (k - cut), np.int64)
     wide = k if b is None else k - cut
-
-    def add(x, y):  # owners of one shingle, x < y
-        if b is None:
-            at = x * wide + y
-        else:
-            across = (x < cut) & (y >= cut)
-            at = x[across] * wide + y[across] - cut
-        common[:] += np.bincount(at, minlength=len(common))
-
+    out = np.zeros(cut * wide, np.int64)
     rare = min(k, 12)
-    for f in range(2, rare + 1):
+    for f in range(2, rare + 1):  # elements of few sets: each pair of owners counts one
         at = first[times == f]
         if len(at):
             xs, ys = np.triu_indices(f, 1)
-            add(owner[(at[:, None] + xs).ravel()], owner[(at[:, None] + ys).ravel()])
-    common = common.reshape(-1, wide)
+            x, y = owner[(at[:, None] + xs).ravel()], owner[(at[:, None] + ys).ravel()]
+            if b is not None:
+                across = (x < cut) & (y >= cut)
+                x, y = x[across], y[across] - cut
+            out += np.bincount(x * wide + y, minlength=len(out))
+    out = out.reshape(cut, wide)
     if b is None:
-        common = common + common.T
-    many = np.flatnonzero(times > rare)
+        out = out + out.T
+    many = np.flatnonzero(times > rare)  # elements of many sets: columns of a matrix
     step = max(1, CELLS // k)
     for lo in range(0, len(many), step):
         part = many[lo : lo + step]
@@ -413,9 +465,15 @@ def similar(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
         at = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         x = np.zeros((k, len(part)), np.float32)
         x[owner[at], np.repeat(np.arange(len(part)), n)] = 1
-        common = common + (x @ x.T if b is None else x[:cut] @ x[cut:].T).astype(np.int64)
-    na, nb = size[:cut, None], size[None, :] if b is None else size[None, cut:]
-    return 100 * common >= 75 * (na + nb - common)
+        out = out + (x @ x.T if b is None else x[:cut] @ x[cut:].T).astype(np.int64)
+    return out
+
+
+def similar(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """A matrix of which sets of a are similar to which of b, or of a itself; sets are sorted arrays of shingles."""
+    both, na = common(a, b), np.array([len(t) for t in a], np.int64)
+    nb = na if b is None else np.array([len(t) for t in b], np.int64)
+    return 100 * both >= 75 * (na[:, None] + nb[None, :] - both)
 
 
 def forest(linked: np.ndarray, across: bool) -> np.ndarray:
@@ -467,25 +525,14 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     def verify(batches):
         from pointweave.llm import jaccard
 
-        def done():
-            sides = [sorted(x.items()) for x in group]
-            if len(sides[0]) < (1 if sides[1] else 2):
-                return None
-            nodes = np.array([n for x in sides for n, _ in x], np.int64)
-            linked = jaccard.similar(*([t for _, t in x] or None for x in sides))
-            x, y = jaccard.forest(linked, bool(sides[1]))
-            return pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
-
-        now, group = None, ({}, {})
-        for batch in batches:
-            for tile, side, node, tokens in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "node", "tokens"))):
-                if tile != now:
-                    if now is not None and (links := done()) is not None:
-                        yield links
-                    now, group = tile, ({}, {})
-                group[side][node] = np.frombuffer(tokens, _U)  # rows with one set and one doc_id come once
-        if now is not None and (links := done()) is not None:
-            yield links
+        for sides in jaccard._tiles(batches, ("node", "tokens")):
+            one, two = (sorted({node: np.frombuffer(tokens, _U) for node, tokens in x}.items()) for x in sides)  # rows with one set and one doc_id come once
+            if len(one) < (1 if two else 2):
+                continue
+            linked = jaccard.similar([t for _, t in one], [t for _, t in two] or None)
+            x, y = jaccard.forest(linked, bool(two))
+            nodes = np.array([n for n, _ in one + two], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
 
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(maybe(F.xxhash64(F.col("doc_id"))))
     # a class all of whose rows have no doc_id is found by the null
