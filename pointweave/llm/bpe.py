@@ -1,5 +1,8 @@
 """Byte-level BPE by the backtracking encoder, and decoding by an offset table.
 
+The encoder follows the published idea that token pairs have a compatibility of their own (as in GitHub's open-source
+bpe crate and its article "So many tokens, so little time"); the code here is written for numpy and Python.
+
 Encoding a piece of text: an Aho-Corasick automaton over all tokens gives the longest token at every position in one
 pass; tokens are then laid down from the left. A token may follow another only if the pair is compatible, i.e. BPE's own
 merges of the two would leave exactly these two; that is decided by undoing the merges across the border. When no token
@@ -8,7 +11,7 @@ so the work is linear in the piece. The result equals merging pairs by rank.
 
 Texts are split into pieces as the tokenizer file says (special tokens first, then its pattern). The pieces of texts in
 which a character is unassigned in Unicode 15.1 come from the library's own splitter, whose Unicode version may differ
-from that of the pattern's engine. Pieces are cached within bounds, so common words are encoded once for each worker.
+from that of the pattern's engine. Pieces are cached within bounds, so common words are encoded once for each task; nothing outlives it.
 
 Null text counts as empty and has no token. Other columns are never read.
 """
@@ -30,8 +33,8 @@ from pointweave.llm.common import session, ship
 
 #: The splitting pattern of byte-level BPE files whose pre-tokenizer is ByteLevel with use_regex (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The most pieces kept in a worker, and the longest piece that is kept.
-CACHE_PIECES, CACHE_LENGTH = 400_000, 48
+#: The most pieces in each of a task's two generations, and the longest piece that is kept.
+CACHE_PIECES, CACHE_LENGTH = 100_000, 48
 #: Tokens decoded at once, and characters of a text split into pieces at once.
 DECODE_STEP, LONG = 1 << 16, 1 << 20
 
@@ -252,8 +255,13 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
+def release() -> None:
+    """Lets go of all codecs. Workers outlive their tasks and go on to other operators, which need the memory."""
+    _codecs.clear()
+
+
 def codec(tokenizer_json: str) -> Codec:
-    """The codec of a tokenizer file's text, made once for each process."""
+    """The codec of a tokenizer file's text, made once for each process, or until release()."""
     key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
     if key not in _codecs:
         _codecs[key] = Codec(tokenizer_json)
@@ -266,12 +274,16 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -
     ship(spark)
     held = spark.sparkContext.broadcast(open(path, encoding="utf-8").read())
 
-    @F.pandas_udf("binary")
-    def run(texts):
+    @F.pandas_udf("binary", F.PandasUDFType.SCALAR_ITER)
+    def run(batches):
         from pointweave.llm import bpe
 
         c = bpe.codec(held.value)
-        return texts.map(lambda t: c.encode(t) if t else b"")
+        try:
+            for texts in batches:
+                yield texts.map(lambda t: c.encode(t) if t else b"")
+        finally:
+            bpe.release()
 
     return docs.withColumn(ids, run(F.col(column)))
 
@@ -282,12 +294,16 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", column: str = "text") -
     ship(spark)
     held = spark.sparkContext.broadcast(open(path, encoding="utf-8").read())
 
-    @F.pandas_udf("string")
-    def run(found):
+    @F.pandas_udf("string", F.PandasUDFType.SCALAR_ITER)
+    def run(batches):
         from pointweave.llm import bpe
 
         c = bpe.codec(held.value)
-        return found.map(lambda i: c.decode(i) if i else "")
+        try:
+            for found in batches:
+                yield found.map(lambda i: c.decode(i) if i else "")
+        finally:
+            bpe.release()
 
     return docs.withColumn(column, run(F.col(ids)))
 
@@ -302,14 +318,17 @@ def round_trip(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
         from pointweave.llm import bpe
 
         c = bpe.codec(held.value)
-        for b in batches:
-            ids, exact = [], []
-            for t in b.column("_text"):
-                text = t.as_py() or ""
-                ids.append(c.encode(text))
-                exact.append(c.decode(ids[-1]) == text)
-            n = pa.array([len(i) // 4 for i in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(ids, pa.binary()), n, pa.array(exact, pa.bool_())], [*keep, "ids", "n_tokens", "exact"])
+        try:
+            for b in batches:
+                ids, exact = [], []
+                for t in b.column("_text"):
+                    text = t.as_py() or ""
+                    ids.append(c.encode(text))
+                    exact.append(c.decode(ids[-1]) == text)
+                n = pa.array([len(i) // 4 for i in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(ids, pa.binary()), n, pa.array(exact, pa.bool_())], [*keep, "ids", "n_tokens", "exact"])
+        finally:
+            bpe.release()
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, ids binary, n_tokens long, exact boolean")
@@ -325,14 +344,17 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         from pointweave.llm import bpe
 
         c = bpe.codec(held.value)
-        for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for t in b.column("text"):
-                ids = c.encode(t.as_py() or "")
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for b in batches:
+                n, ids_sha, text_sha = [], [], []
+                for t in b.column("text"):
+                    ids = c.encode(t.as_py() or "")
+                    n.append(len(ids) // 4)
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            bpe.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
