@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pointweave.storage import shared_path, written
 
-__all__ = ["ARROW_BATCH", "HOT_GROUPS", "crc_mod", "filesystem", "join_groups", "sampled", "session", "shared_path", "shared_uri", "ship", "table", "written"]
+__all__ = ["ARROW_BATCH", "HOT_GROUPS", "crc_mod", "filesystem", "fresh", "join_groups", "sampled", "session", "shared_path", "shared_uri", "ship", "table", "whole_row", "written"]
 
 #: The most rows and bytes of an Arrow batch.
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
@@ -62,6 +62,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that whatever they are called they meet no column of an operator's own."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, after as many underscores as make it differ from all columns of df (upper and lower case are alike)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)

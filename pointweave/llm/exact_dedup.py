@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.llm.bloom import MAX_BITS, maybe_repeated, repeated_filter
-from pointweave.llm.common import join_groups, session, ship, written
+from pointweave.llm.common import join_groups, session, ship, whole_row, written
 
 
 def _digests(docs: DataFrame) -> DataFrame:
@@ -71,10 +71,9 @@ def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         return pd.Series(maybe_repeated(h.to_numpy(), held.value, bits))
 
     sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    tested = docs.withColumn("_sha", sha).withColumn("_maybe", maybe(F.xxhash64("_sha")))
-    straight = tested.where(~F.col("_maybe")).select(*docs.columns)
+    tested = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("own"), sha.alias("_sha")).withColumn("maybe", maybe(F.xxhash64("_sha")))
+    straight = tested.where(~F.col("maybe")).select("row")
     keepers = groups.select(F.col("sha").alias("_k_sha"), "_keep")
-    again = tested.where("_maybe")
     # (text, doc_id) spreads the join over the doc_ids of a hot group; only the keeper's rows find a partner
-    kept = again.join(keepers, (F.col("_sha") == F.col("_k_sha")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return straight.unionByName(kept.dropDuplicates(["_sha"]).select(*docs.columns))
+    kept = tested.where("maybe").join(keepers, (F.col("_sha") == F.col("_k_sha")) & F.col("own").eqNullSafe(F.col("_keep")), "left_semi")
+    return straight.unionByName(kept.dropDuplicates(["_sha"]).select("row")).select("row.*")

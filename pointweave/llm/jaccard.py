@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.llm.bloom import maybe_repeated, mix, repeated_filter
-from pointweave.llm.common import join_groups, session, ship, written
+from pointweave.llm.common import join_groups, session, ship, whole_row, written
 from pointweave.llm.components import components
 from pointweave.llm.wordhash import word_hashes
 
@@ -679,7 +679,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
         return pd.Series(maybe_repeated(h.to_numpy(), held.value, bits))
 
-    wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own"), F.col("text").alias("said"))
+    wrapped = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("own"), F.col("text").alias("said"))
     tested = wrapped.withColumn("maybe", maybe(F.xxhash64("own")))
     of_id = F.col("own").eqNullSafe(F.col("_id"))
     out = tested.where(~F.col("maybe")).select("row").unionByName(tested.where("maybe").join(doubtful, of_id, "left_anti").select("row"))

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pointweave.llm.common import crc_mod, sampled, session, ship
+from pointweave.llm.common import crc_mod, sampled, session, ship, whole_row
 
 #: Buckets of the hashed n-grams, their lengths, and the additive smoothing.
 BUCKETS, ORDERS, ALPHA = 1 << 15, (1, 2, 3), 0.1
@@ -163,8 +164,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
             yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(p, pa.float64())], [*keep, "lang_pred", "score"])
 
     slim = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return slim.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    kinds = StructType([slim.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
+    return slim.mapInArrow(score, kinds)
 
 
 def held_out(docs: DataFrame):
@@ -180,5 +181,5 @@ def predict(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, least: float = MIN_SCORE) -> DataFrame:
     """The rows of docs whose language is known with at least that probability, with their own columns."""
-    out = identify(docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns}).withColumn("text", F.col("d_text")), model, [f"d_{c}" for c in docs.columns])
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(F.col(f"d_{c}").alias(c) for c in docs.columns))
+    row = docs.select(whole_row(docs).alias("row"), F.col("text"))
+    return identify(row, model, ["row"]).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

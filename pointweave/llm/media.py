@@ -203,8 +203,9 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     stored = written(both.where("size(parts) > 0 or size(pool) > 0"), "media-store", compression="zstd")
     own = stored.where("size(parts) > 0").drop("pool")
     pool = stored.select(F.explode("pool").alias("p")).select("p.digest", "p.data")
-    shared = repeats.select(F.col("doc_id").alias("_d"), F.lit(True).alias("shared"))
-    manifest = manifest.join(shared, F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "n_bytes", "payload_bytes", "sha", "chunks", F.coalesce("shared", F.lit(False)).alias("shared"))
+    shared = F.coalesce(F.arrays_overlap("chunks", "repeated"), F.lit(False))  # of a repeated doc_id some rows may be, others not
+    of_id = repeats.select(F.col("doc_id").alias("_d"), "repeated")
+    manifest = manifest.join(of_id, F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "n_bytes", "payload_bytes", "sha", "chunks", shared.alias("shared"))
     return manifest, own, pool
 
 

@@ -7,7 +7,9 @@ then shuffled globally: a hash of (seed, doc_id, copy) picks the partition and o
 
 A rate above PIECE is drawn as a sum of independent Poisson variables of equal mean, each inverted at its own hash, which
 keeps the terms of the distribution few and far from underflow. Null source is a source of its own; sources that have no
-weight get none of the copies; null doc_id hashes as the empty text. Equal doc_ids get equal counts.
+weight get none of the copies; null doc_id hashes as the empty text. Equal doc_ids get equal counts. Texts are never
+read. Input columns of any name are carried as they are; where one has the name of an added column, the added one gets
+underscores in front.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.common import fresh, whole_row
+
 #: The largest mean inverted in one step, and how many terms of its distribution are laid out (the rest is below 2^-52).
 PIECE, TERMS = 8.0, 48
 #: The most sources whose rates are broadcast; beyond it, rates join by a shuffle salted SALTS ways.
@@ -49,21 +53,23 @@ def _rates(docs: DataFrame, weights: DataFrame | None, epochs: float) -> DataFra
     return rate.select("source", "rate", "pieces", terms.alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0, seed: str = "mix") -> DataFrame:
-    """Copies of the rows of docs in a global random order, with columns _copy (from 1) and _shuffle_key after its own.
+def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0, seed: str = "mix", names: tuple[str, str] = ("_copy", "_shuffle_key")) -> DataFrame:
+    """Copies of the rows of docs in a global random order, with the number of the copy (from 1) and the key of the order
+    after its own columns.
 
     epochs times the number of documents is the expected number of copies."""
     rates = _rates(docs.select("source"), weights, epochs).select(F.col("source").alias("_src"), F.col("pieces").alias("_pieces"), F.col("cdf").alias("_cdf"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = docs.select(whole_row(docs).alias("row"), F.col("source").alias("from"), key.alias("id"))
     if docs.select("source").distinct().limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-        rated = docs.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("_src")))
+        rated = rows.join(F.broadcast(rates), F.col("from").eqNullSafe(F.col("_src")))
     else:
         salted = rates.withColumn("_rate_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = docs.withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, (F.col("_salt") == F.col("_rate_salt")) & F.col("source").eqNullSafe(F.col("_src")))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    draws = F.transform(F.sequence(F.lit(1), F.col("_pieces")), lambda i: uniform(F.lit(seed), key, i.cast("string")))
+        rated = rows.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(salted, (F.col("_salt") == F.col("_rate_salt")) & F.col("from").eqNullSafe(F.col("_src")))
+    draws = F.transform(F.sequence(F.lit(1), F.col("_pieces")), lambda i: uniform(F.lit(seed), F.col("id"), i.cast("string")))
     rated = rated.withColumn("_draws", draws)
     count = F.aggregate("_draws", F.lit(0), lambda a, u: a + F.size(F.filter("_cdf", lambda c: c <= u)))
     copies = rated.withColumn("_count", count).where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    copies = copies.withColumn("_shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), key, F.lit("copy"), F.col("_copy").cast("string")).cast("binary")))
-    out = copies.select(*docs.columns, "_copy", "_shuffle_key")
-    return out.repartition(F.col("_shuffle_key")).sortWithinPartitions("_shuffle_key")
+    copies = copies.withColumn("_shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), "id", F.lit("copy"), F.col("_copy").cast("string")).cast("binary")))
+    out = copies.select("row.*", F.col("_copy").alias(fresh(docs, names[0])), F.col("_shuffle_key").alias(order := fresh(docs, names[1])))
+    return out.repartition(F.col(order)).sortWithinPartitions(order)

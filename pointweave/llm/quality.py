@@ -7,11 +7,13 @@ runs the per-coordinate FTRL-proximal updates over them in hash order; the weigh
 scored as a sparse dot product on Arrow batches.
 
 Null and empty texts have no feature and get the score of the bias alone. Labels that are null are left out; of several
-labels for one doc_id the largest counts. With no label at all every score is 0.5, predicted 1.
+labels for one doc_id the largest counts. With no label at all every score is 0.5, predicted 1. Equal texts get equal
+scores; doc_ids may be numbers or texts, null or repeated. Columns other than those named are never read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     kinds = {c: joined.schema[c].dataType.simpleString() for c in ("doc_id", "quality")}
     got = joined.select("doc_id", "quality", "text").mapInArrow(sparse, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, at binary, val binary").collect()
-    got.sort(key=lambda r: int(mix(np.array([r.doc_id], np.int64).view(np.uint64))[0]))
+    got.sort(key=lambda r: _order(r.doc_id))
     ftrl = Ftrl(BUCKETS)
     ready = [(np.r_[np.frombuffer(r.at, np.uint32).astype(np.int64), BUCKETS], np.r_[np.frombuffer(r.val, np.float32).astype(float), 1.0], int(r.quality >= 1)) for r in got]
     for _ in range(EPOCHS):
@@ -115,6 +117,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
+def _order(doc_id) -> int:
+    """A number by which the rows are learnt in a mixed order; ids may be numbers or texts."""
+    if isinstance(doc_id, int):
+        return int(mix(np.array([doc_id], np.int64).view(np.uint64))[0])
+    return int.from_bytes(hashlib.blake2b(str(doc_id).encode(), digest_size=8).digest(), "little")
+
+
 def classify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in keep and the score of every row of docs."""
     spark = session(docs)

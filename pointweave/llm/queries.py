@@ -65,7 +65,7 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weights for all sources, as many copies as documents."""
-    return mixing.mix(table(spark, sf_dir, "documents")).withColumnsRenamed({"_copy": "copy", "_shuffle_key": "shuffle_key"})
+    return mixing.mix(table(spark, sf_dir, "documents"), names=("copy", "shuffle_key"))
 
 
 ORACLES["op5_mix_sources"] = f"""

@@ -39,8 +39,10 @@ HEADER, FOOTER = "<4s32sB", "<QQQ4s"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u8")])
 #: About so many documents train the dictionary; the dictionary's size; compression level.
 SAMPLE_ROWS, DICTIONARY_BYTES, LEVEL = 2_000, 1 << 16, 3
+#: Longer texts train no dictionary: it is for short documents, and the driver holds all that train it.
+SAMPLE_BYTES = 1 << 14
 #: The most pieces in each of a worker's two generations, the longest that is kept, and texts looked at together.
-CACHE_PIECES, CACHE_LENGTH, TOGETHER = 400_000, 48, 256
+CACHE_PIECES, CACHE_LENGTH, TOGETHER = 200_000, 48, 256
 #: Bytes written or read at once.
 STEP = 1 << 22
 
@@ -146,8 +148,9 @@ def train_dictionary(docs: DataFrame, tokenizer_json: str, end_id: int, width: i
     import zstandard
 
     w = encoder(tokenizer_json)
-    rows = sampled(docs.select("doc_id", "text"), "doc_id", SAMPLE_ROWS, 13)
-    samples = [_serial(w.ids([r.text])[0] + struct.pack("<I", end_id), width) for r in rows.toLocalIterator()]
+    rows = sampled(docs.select("doc_id", "text"), "doc_id", SAMPLE_ROWS, 13).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    samples = [_serial(w.ids([r.text])[0] + struct.pack("<I", end_id), width) for r in rows.select("text").collect()]
+    _encoders.clear()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:

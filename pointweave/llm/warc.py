@@ -401,7 +401,12 @@ def read(spark: SparkSession, made: Archives, index: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, position long")
 
 
+#: Seconds from 2024 on to which captures' times are kept, so that years have four digits; captures beyond go by id alone.
+_FIRST, _LAST = -62_000_000_000, 250_000_000_000
+
+
 def pages_as_captures(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) as captures, one second apart from 2024 on in the order of page_id."""
-    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """pages (page_id, url, html) as captures, one second apart from 2024 on in the order of page_id (any whole number)."""
+    second = F.least(F.greatest(F.coalesce(F.col("page_id"), F.lit(0)).cast("long"), F.lit(_FIRST)), F.lit(_LAST))
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + second), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return pages.select(F.col("page_id").alias("id"), "url", at.alias("captured_at"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
