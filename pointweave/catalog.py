@@ -13,8 +13,10 @@ from pointweave.functions import lowering
 from pointweave.functions.context import POLICIES, CallString, NoContext, label
 from pointweave.operators import changes, delta, fixpoint, hierarchy, lookups, rules, scc, stats, verify
 from pointweave.plans import pointsto
-from pointweave.sources import tables
-from pointweave.storage import written
+from pointweave.program import Program
+from pointweave.schema import KINDS
+from pointweave.sources import scope, tables
+from pointweave.storage import shared_path, written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,9 +39,10 @@ def cte(*names: str) -> str:
 _memo: dict = {}
 
 
-def _once(spark, d: str, what: str, make):
-    """What several queries look at is computed once for each application and folder; it lies in the shared folder."""
-    key = (spark.sparkContext.applicationId, d, what)
+def _once(spark, d: str, what: str, names: tuple[str, ...], make):
+    """What several queries look at is computed once for each application and state of the tables it comes from; it lies
+    in the shared folder."""
+    key = (spark.sparkContext.applicationId, what, tables.fingerprint(spark, d, *names))
     if key not in _memo:
         _memo[key] = make()
     return _memo[key]
@@ -158,7 +161,7 @@ def _evolved(spark, d, components: bool = False):
         state = delta.start(lookups.net_edges(early), seeds, components)
         return state, *delta.apply_changes(state, late)
 
-    return _once(spark, d, f"evolved-{components}", make)
+    return _once(spark, d, f"evolved-{components}", ("events",), make)
 
 
 @query(f"{_LOG} select src, dst from late")
@@ -201,15 +204,183 @@ def scc_after_changes(spark, d):
 
 @query(f"{_LOG} select 'missing' as kind, node, heap from p1 where false")
 def invariant_violations(spark, d):
+    """The sets after the changes: no offending row."""
     _, after, _ = _evolved(spark, d, components=True)
     return verify.component_violations(after.edge, after.scc, after.seed, after.pts)
 
 
-@query(f"{_LOG} select node, heap from p1 where false")
+@query(
+    f"{_LOG}, bad as (select node, heap from p1 where node <> heap union select max(node), -1 from p1), derived as (select distinct dst node, heap from bad join late on src = node) "
+    "select 'missing' as kind, * from (select * from derived except select * from bad) union all select 'extra', * from (select * from bad except select * from derived except select * from seeds)"
+)
+def invariant_of_damaged_sets(spark, d):
+    """The sets without what nodes hold by themselves, and with a row from nowhere: what the invariant finds."""
+    _, after, _ = _evolved(spark, d, components=True)
+    nowhere = after.pts.agg(F.max("node").alias("node")).select("node", F.lit(-1).cast("bigint").alias("heap"))
+    return verify.union_violations(after.edge, after.seed, after.pts.where("node <> heap").unionByName(nowhere))
+
+
+@query(
+    f"{_LOG}, fewer as (select * from early where src > dst), p2(node, heap) as (select node, heap from seeds union select dst, heap from p2 join fewer on src = node) "
+    "select 'lost' as step, * from (select * from p0 except select * from p2) union all select 'differs', node, heap from p0 where false"
+)
 def roundtrip_diff(spark, d):
+    """The edges to greater nodes deleted together, and added again: what goes, and what differs in the end."""
     early, _, seeds = _log(spark, d)
     state = delta.start(lookups.net_edges(early), seeds)
-    return verify.round_trip(state, state.edge)[1]
+    there = state.edge.where("src < dst")
+    without, _ = delta.apply_changes(state, there.select(F.lit(0).cast("bigint").alias("seq"), F.lit("del").alias("op"), "src", "dst"))
+    lost = lookups.difference(state.pts, without.pts).select(F.lit("lost").alias("step"), "node", "heap")
+    return lost.unionByName(verify.round_trip(state, there)[1].select(F.lit("differs").alias("step"), "node", "heap"))
+
+
+#: Of the token graph, for each edge what is derived without it; p only meets nodes of the edge's own user.
+_EACH = f"""{_TOKENS}, held as (select distinct src node from token_edge), whole(node, heap) as (select node, node from held union select dst, heap from whole join token_edge on src = node),
+each(s, t, node, heap) as (select src, dst, node, node from token_edge join held on node // 100 = src // 100 union select s, t, e.dst, heap from each join token_edge e on e.src = node and not (e.src = s and e.dst = t)),
+lost as (select concat(src, '>', dst) id, w.node, w.heap from token_edge join whole w on w.node // 100 = src // 100 left join each x on x.s = src and x.t = dst and x.node = w.node and x.heap = w.heap where x.s is null)"""
+
+
+def _each_edge(spark, d):
+    edge = _tokens(spark, d)
+    state = delta.start(edge, edge.select(F.col("src").alias("node"), F.col("src").alias("heap")).distinct())
+    return state, edge.select(F.concat_ws(">", "src", "dst").alias("id"), "src", "dst")
+
+
+@query(f"{_EACH} select distinct id, node from lost")
+def affected_by_each_edge(spark, d):
+    """The nodes whose sets change when an edge is deleted, for every edge of the token graph on its own."""
+    state, groups = _each_edge(spark, d)
+    return delta.what_if(state.edge, state.seed, state.pts, groups).select("id", "node").distinct()
+
+
+@query(f"{_EACH} select id, count(*) as lost, cast(0 as bigint) as differ from lost group by id")
+def roundtrip_each_edge(spark, d):
+    state, groups = _each_edge(spark, d)
+    return verify.round_trips(state, groups)
+
+
+@query(
+    f"{_TOKENS}, ends as (select min(src) lo, max(src) hi from token_edge), held as (select distinct src node from token_edge), "
+    "p(node, heap) as (select node, node from held union select dst, heap from p join token_edge on src = node), "
+    "q(node, heap) as (select node, heap from p union select dst, heap from q join (select * from token_edge union select hi, lo from ends) on src = node), "
+    "r(node, heap) as (select node, node from held union select dst, heap from r join (select * from token_edge where src <> (select lo from ends)) on src = node) "
+    "select 'points_to' as call, heap as value from p, ends where node = lo union all select 'edges', dst from token_edge, ends where src = lo "
+    "union all select 'add_edge', heap from q, ends where node = lo "
+    "union all select 'add_edge affects', node from (select distinct node from (select * from q except select * from p)) "
+    "union all select 'delete_edge', heap from (select distinct heap from (select heap from p, ends where node = lo))"
+)
+def state_calls(spark, d):
+    """The calls of a state: one node's set and successors, an edge added and taken away again."""
+    state, _ = _each_edge(spark, d)
+    lo, hi = state.edge.agg(F.min("src"), F.max("src")).first()
+    said = lambda df, call, column: df.select(F.lit(call).alias("call"), F.col(column).alias("value"))
+    more, touched = delta.add_edge(state, hi, lo)
+    back, _ = delta.delete_edge(more, hi, lo)
+    out = said(state.points_to(lo), "points_to", "heap").unionByName(said(state.edges(lo), "edges", "dst"))
+    out = out.unionByName(said(more.points_to(lo), "add_edge", "heap")).unionByName(said(touched, "add_edge affects", "node"))
+    return out.unionByName(said(back.points_to(lo), "delete_edge", "heap"))
+
+
+@query(f"{_TOKENS}, p(node, heap) as (select distinct src, src from token_edge union select dst, heap from p join token_edge on src = node) select node, heap from p")
+def pts_by_representative(spark, d):
+    """Sets kept for representatives alone, copied out to all members, in a snapshot."""
+    edge = _tokens(spark, d)
+    found = written(scc.components(edge), "scc")
+    seeds = edge.select(F.col("src").alias("node"), F.col("src").alias("heap")).distinct()
+    lifted = seeds.join(found, "node").select(F.col("rep").alias("node"), "heap").distinct()
+    return verify.snapshot(verify.expanded(found, fixpoint.points_to(scc.condensation(edge, found).toDF("src", "dst"), lifted)))
+
+
+@query(
+    f"{_TOKENS}, back as (select dst_rep src_rep, src_rep dst_rep from cond where src_rep <> (select max(src_rep) from cond)) "
+    "select src_rep, dst_rep from cond where src_rep = (select max(src_rep) from cond)"
+)
+def inverse_violations(spark, d):
+    """Of the condensation and a reverse that lacks the edges of one component: the edges that only one of the two has."""
+    cond = written(condensation_tokens(spark, d), "condensation")
+    last = cond.agg(F.max("src_rep").alias("src_rep"))
+    return verify.inverse_violations(cond, scc.reverse(cond.join(last, "src_rep", "left_anti")))
+
+
+@query(f"{_TOKENS} select node, rep from scc")
+def scc_by_rounds(spark, d):
+    """The components by trimming and colouring, as for graphs that no task can hold."""
+    return scc.components(_tokens(spark, d), local_edges=0)
+
+
+@query("select * from (values (0, ''), (1, 'round trip of each change'), (2, 'round trip of each change; union invariant after each change; arity of calls'), (3, 'round trip of each change; union invariant after each change; arity of calls; names of changes')) t(level, checks)")
+def checks_by_level(spark, d):
+    return spark.createDataFrame([(n, "; ".join(verify.checks(n))) for n in range(4)], "level int, checks string")
+
+
+@query(
+    "select event_type as op, count(*) as n, cast(sum(floor(value * 100)) as bigint) as total_ms, avg(cast(floor(value * 100) as bigint)) as mean_ms, cast(max(floor(value * 100)) as bigint) as max_ms, cast(min(floor(value * 100)) as bigint) as min_ms "
+    "from events where value > 5 group by event_type"
+)
+def time_statistics(spark, d):
+    """Of changes that affected a node; here of events, whose values stand for times and, in fives, for nodes affected."""
+    ms = F.floor(F.col("value") * 100).cast("bigint")
+    timings = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("op"), ms.alias("ms"), F.when(F.col("value") > 5, F.floor(F.col("value") / 5)).otherwise(0).alias("affected"))
+    return stats.time_statistics(timings)
+
+
+@query(f"{_LOG}, line as (select concat(src, ' -> {{', string_agg(cast(dst as varchar), ', ' order by cast(dst as varchar)), '}}') line from late group by src union all select concat(node, ' => {{', string_agg(cast(heap as varchar), ', ' order by cast(heap as varchar)), '}}') from p1 group by node) select line from line")
+def graph_lines(spark, d):
+    """The graph and sets after the changes as text."""
+    _, after, _ = _evolved(spark, d)
+    return scope.graph_text(after.edge, after.pts)
+
+
+# --- scopes -----------------------------------------------------------------------------------------------------------
+
+
+def _file(spark, lines: DataFrame, name: str) -> str:
+    """The lines as a text file in the shared folder."""
+    path = shared_path(spark, name)
+    lines.select(F.concat_ws(",", *lines.columns)).write.text(path)
+    return path
+
+
+@query("select case when n_regionkey = 0 then 'Primordial' else 'Application' end as loader, 'Java' as language, case when n_nationkey % 2 = 0 then 'jarFile' else 'classFile' end as kind, concat('lib/', n_name) as path from nation")
+def scope_files(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    kind = F.when(F.col("n_nationkey") % 2 == 0, "jarFile").otherwise("classFile")
+    lines = n.select(F.when(F.col("n_regionkey") == 0, "Primordial").otherwise("Application").alias("a"), F.lit("Java").alias("b"), kind.alias("c"), F.concat(F.lit("lib/"), "n_name").alias("d"))
+    return scope.read_scope(spark, _file(spark, lines, "scope"))
+
+
+@query(
+    "with c as (select concat('org.n', c_nationkey, '.', lower(c_mktsegment), '.C', c_custkey) as name from customer) "
+    "select name from c where not regexp_full_match(replace(name, '.', '/'), 'org/n1[0-9]/.*') and not regexp_full_match(replace(name, '.', '/'), '.*/machinery/C.*5')"
+)
+def classes_in_scope(spark, d):
+    """Class names less those that an exclusion list names."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("org.n"), F.col("c_nationkey").cast("string"), F.lit("."), F.lower("c_mktsegment"), F.lit(".C"), F.col("c_custkey").cast("string")).alias("name"))
+    path = shared_path(spark, "exclusions")
+    spark.createDataFrame([("org/n1[0-9]/.*",), ("",), (" .*/machinery/C.*5 ",)], "line string").write.text(path)
+    return scope.excluded(c, scope.read_exclusions(spark, path))
+
+
+@query("select lower(r_name) as key, concat('/opt/', r_regionkey) as value from region")
+def runtime_settings(spark, d):
+    r = spark.read.parquet(f"{d}/region.parquet")
+    path = shared_path(spark, "settings")
+    note = spark.createDataFrame([("# where things are",), ("",)], "line string")
+    note.unionByName(r.select(F.concat(F.lower("r_name"), F.lit(" = /opt/"), F.col("r_regionkey").cast("string")).alias("line"))).write.text(path)
+    return spark.createDataFrame(list(scope.read_settings(spark, path).items()), "key string, value string")
+
+
+@query(f"with {cte('function')} select fn_id from function where name_id in (select n_nationkey from nation)")
+def entry_functions(spark, d):
+    functions = tables.frame(spark, d, "function").select("fn_id", F.col("name_id").alias("method_id"))
+    return scope.entry_functions(functions, spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("method_id")))
+
+
+@query("select concat('scope', s_nationkey, '.txt') as scope, concat('Lorg/S', s_suppkey) as main_class from supplier")
+def scope_catalog(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    lines = s.select(F.concat(F.lit("scope"), F.col("s_nationkey").cast("string"), F.lit(".txt")).alias("a"), F.concat(F.lit("Lorg/S"), F.col("s_suppkey").cast("string")).alias("b"))
+    return scope.catalog(spark, _file(spark, lines, "catalog"))
 
 
 @query(f"{_LOG} select src, dst from early where src in (select node from seeds)")
@@ -407,11 +578,11 @@ def rule_virtual_return_edges_cha(spark, d):
     return rules.virtual_return_edges(calls, p.instr).distinct()
 
 
-@query(f"{_RULES} select i.instr_id, m.fn_id from instr i join every_method m using (selector) where k = 6")
+@query(f"{_RULES} select i.instr_id, m.fn_id from instr i join every_method m using (selector) where k = 6 and 2 < 2 + m.fn_id % 4 - 1")
 def arity_violations(spark, d):
-    """The calls, if all methods had four parameters more."""
+    """Calls pass two values; a method takes two to five, and may do without its last one."""
     p, calls = _by_hierarchy(spark, d)
-    more = p.functions.select("fn_id", F.explode(F.sequence(F.lit(2), F.lit(5))).alias("pos")).withColumn("var_id", F.lit(-1).cast("bigint"))
+    more = p.functions.where("fn_id % 4 > 0").select("fn_id", F.explode(F.sequence(F.lit(2), (F.col("fn_id") % 4 + 1).cast("int"))).alias("pos")).withColumn("var_id", F.lit(-1).cast("bigint"))
     sized = calls.select("instr_id", F.col("callee").alias("fn_id"), F.size("args").cast("bigint").alias("n_args"))
     return hierarchy.arity_errors(sized, p.params.unionByName(more))
 
@@ -445,7 +616,7 @@ vsite as (select instr_id, fn_id f, concat('V', source) recv, concat('V', target
 vedge as (select v.instr_id i, m.fn_id g, recv s, concat('V', m.fn_id * 100 + n) t from vsite v join every_method m using (selector), (values (0), (1)) x(n)
   union select v.instr_id, m.fn_id, concat('V', r.source), tgt from vsite v join every_method m using (selector) join ret r on r.fn_id = m.fn_id),
 t(k, a, b) as (
-  select 'F', cast(fn_id as varchar), '' from function where fn_id < 40
+  select 'F', cast(fn_id as varchar), '' from function
   union (
     select 'F', cast(e.g as varchar), '' from t x join fedge e on x.k = 'F' and x.a = cast(e.f as varchar)
     union select 'F', x.b, '' from t x where x.k = 'C'
@@ -460,12 +631,29 @@ t(k, a, b) as (
 
 @query(f"{_SPARSE}, fedge as (select i.fn_id f, s.fn_id g from instr i join static_fn s on s.name_id = static_callee where k = 5), r(fn_id) as (select fn_id from function where fn_id < 40 union select g from r join fedge on f = fn_id) select fn_id from r")
 def reachable_functions(spark, d):
-    return pointsto.reachable_functions(tables.program(spark, d)).select("fn_id")
+    """From the functions below 40."""
+    return pointsto.reachable_functions(tables.program(spark, d, entries=40)).select("fn_id")
 
 
-def _built(spark, d):
-    p = _once(spark, d, "program", lambda: tables.program(spark, d))
-    return p, _once(spark, d, "analysis", lambda: pointsto.build(p))
+@query(
+    f"{_SPARSE}, fedge as (select i.fn_id f, s.fn_id g from instr i join static_fn s on s.name_id = static_callee where k = 5 union select i.fn_id, m.fn_id from instr i join every_method m using (selector) where k = 6), "
+    "r(fn_id) as (select fn_id from function where fn_id < 40 union select g from r join fedge on f = fn_id) select fn_id from r"
+)
+def reachable_by_hierarchy(spark, d):
+    """From the functions below 40, virtual calls bound to every method of their selector."""
+    return pointsto.reachable_by_hierarchy(tables.program(spark, d, entries=40)).select("fn_id")
+
+
+_PROGRAM_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem")
+
+
+def _program(spark, d):
+    return _once(spark, d, "program", _PROGRAM_TABLES, lambda: tables.program(spark, d))
+
+
+def _built(spark, d, policy=POLICIES[0], profile: str = "reference"):
+    p = _program(spark, d)
+    return p, _once(spark, d, f"analysis-{policy.label}-{profile}", _PROGRAM_TABLES, lambda: pointsto.build(p, policy, profile))
 
 
 @query(f"{_PROGRAM} select cast(a as bigint) as instr_id, cast(b as bigint) as callee from t where k = 'C'")
@@ -512,17 +700,115 @@ for _name, _cand in (
     ORACLES[f"affected_edges_{_name}"] = f"{_REACHED}, cand as ({_cand}) select distinct c.instr_id, c.s as src, c.t as dst from cand c join alledge e on e.s = c.s and e.t = c.t"
 
 
+_EVERY = " union all ".join(f"select '{_k}' as kind, count(*) as n from ({ORACLES[f'affected_edges_{_k}'].rpartition('), cand as (')[2].partition(') select distinct')[0]}) c where exists (select 1 from alledge e where e.s = c.s and e.t = c.t)" for _k in ("alloc", "assign", "store", "load", "scall", "vcall"))
+
+
+@query(f"{_REACHED} {_EVERY} union all select 'return', 0")
+def affected_edge_counts(spark, d):
+    """How many edges the instructions of each kind stand for; returns stand for none."""
+    p, made = _built(spark, d)
+    kinds = spark.createDataFrame([(k,) for k in KINDS], "kind string")
+    found = changes.affected_edges(p, made, p.instr).join(p.instr.select("instr_id", "kind"), "instr_id")
+    return kinds.join(found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kind", "left").select("kind", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+@query(f"with {cte('raw_program', 'class', 'function')} select 'classes' as relation, count(*) as n from class union all select 'functions', count(*) from function union all select 'params', 2 * count(*) from function union all select 'instr', count(*) from raw_program union all select 'entries', count(*) from function")
+def program_relations(spark, d):
+    """The program written to the shared folder and read back: rows of each relation."""
+    path = shared_path(spark, "program")
+    _program(spark, d).write_parquet(path)
+    back = Program.read_parquet(spark, path)
+    out = [getattr(back, name).agg(F.lit(name).alias("relation"), F.count(F.lit(1)).alias("n")) for name in ("classes", "functions", "params", "instr", "entries")]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
+@query(f"{_PROGRAM} select concat('policy=No context nodes=', count(distinct a), ' total=', count(*)) as line from t where k = 'P'")
+def stats_lines(spark, d):
+    return scope.stats_text(stats.by_policy({NoContext.label: _built(spark, d)[1].pts}))
+
+
 @query(f"{_PROGRAM} select 'No context' as policy, count(distinct a) as nodes, count(*) as total from t where k = 'P'")
 def stats_no_context(spark, d):
     return stats.by_policy({NoContext.label: _built(spark, d)[1].pts})
 
 
-@query()
+def _contexts(n: int, profile: str = "reference") -> str:
+    """As _PROGRAM, with contexts: a call string of n names as text after an @, in column c; nodes in a are without."""
+    merge = (lambda c, x: "''") if n == 0 else (lambda c, x: f"concat('@', array_to_string(list_append(string_split(substr({c}, 2), '.'), cast({x} as varchar))[-{n}:], '.'))")
+    of_callee = "" if profile == "reference" else f"""
+    union select 'P', e.t, y.b, {merge("x.c", "e.m")} from t x join sarg e on x.k = 'F' and x.a = cast(e.f as varchar) join recurring.t y on y.k = 'P' and y.a = e.s and y.c = x.c
+    union select 'P', e.t, x.b, {merge("x.c", "e.m")} from t x join sarg e on x.k = 'P' and x.a = e.s join recurring.t y on y.k = 'F' and y.a = cast(e.f as varchar) and y.c = x.c
+    union select 'P', e.t, y.b, x.c from t x join sret e on x.k = 'F' and x.a = cast(e.f as varchar) join recurring.t y on y.k = 'P' and y.a = e.s and y.c = {merge("x.c", "e.m")}
+    union select 'P', e.t, x.b, y.c from t x join sret e on x.k = 'P' and x.a = e.s join recurring.t y on y.k = 'F' and y.a = cast(e.f as varchar) and {merge("y.c", "e.m")} = x.c"""
+    in_caller = "" if profile != "reference" else """
+  union select f, s, t from sarg
+  union select f, t, s from sret"""
+    return f"""{_SPARSE},
+scalls as (select i.fn_id f, s.fn_id g, static_callee m, target, source from instr i join static_fn s on s.name_id = static_callee where k = 5),
+fedge as (select distinct f, g, m from scalls),
+sarg as (select f, m, concat('V', case when n = 0 then source else target end) s, concat('V', g * 100 + n) t from scalls, (values (0), (1)) v(n)),
+sret as (select f, m, concat('V', r.source) s, concat('V', c.target) t from scalls c join ret r on r.fn_id = g),
+halloc as (select concat('H', instr_id) h, fn_id f, concat('V', target) v, class_id from instr where k = 1),
+hclass as (select h, r.selector, r.fn_id g from halloc a join resolved r on r.class_id = a.class_id),
+pedge as (select fn_id f, concat('V', source) s, concat('V', target) t from instr where k = 2
+  union select fn_id, concat('V', source), concat('F', target, '.', field) from instr where k = 3
+  union select fn_id, concat('F', source, '.', field), concat('V', target) from instr where k = 4{in_caller}
+  union select f, h, v from halloc),
+vsite as (select instr_id, fn_id f, concat('V', source) recv, concat('V', target) tgt, selector from instr where k = 6),
+varg as (select v.instr_id i, m.fn_id g, recv s, concat('V', m.fn_id * 100 + n) t, selector from vsite v join every_method m using (selector), (values (0), (1)) x(n)),
+vret as (select v.instr_id i, m.fn_id g, concat('V', r.source) s, tgt t, selector from vsite v join every_method m using (selector) join ret r on r.fn_id = m.fn_id),
+t(k, a, b, c) as (
+  select 'F', cast(fn_id as varchar), '', {"''" if n == 0 else "concat('@', name_id)"} from function
+  union (
+    select 'F', cast(e.g as varchar), '', {merge("x.c", "e.m")} from t x join fedge e on x.k = 'F' and x.a = cast(e.f as varchar)
+    union select 'F', x.b, '', {merge("x.c", "v.selector")} from t x join vsite v on x.k = 'C' and x.a = cast(v.instr_id as varchar)
+    union select 'P', h, concat(h, x.c), x.c from t x join halloc on x.k = 'F' and x.a = cast(f as varchar)
+    union select 'P', e.t, y.b, x.c from t x join pedge e on x.k = 'F' and x.a = cast(e.f as varchar) join recurring.t y on y.k = 'P' and y.a = e.s and y.c = x.c
+    union select 'P', e.t, x.b, x.c from t x join pedge e on x.k = 'P' and x.a = e.s join recurring.t y on y.k = 'F' and y.a = cast(e.f as varchar) and y.c = x.c{of_callee}
+    union select 'P', e.t, y.b, {merge("x.c", "e.selector")} from t x join varg e on x.k = 'C' and x.a = cast(e.i as varchar) and x.b = cast(e.g as varchar) join recurring.t y on y.k = 'P' and y.a = e.s and y.c = x.c
+    union select 'P', e.t, x.b, {merge("x.c", "e.selector")} from t x join varg e on x.k = 'P' and x.a = e.s join recurring.t y on y.k = 'C' and y.a = cast(e.i as varchar) and y.b = cast(e.g as varchar) and y.c = x.c
+    union select 'P', e.t, y.b, x.c from t x join vret e on x.k = 'C' and x.a = cast(e.i as varchar) and x.b = cast(e.g as varchar) join recurring.t y on y.k = 'P' and y.a = e.s and y.c = {merge("x.c", "e.selector")}
+    union select 'P', e.t, x.b, y.c from t x join vret e on x.k = 'P' and x.a = e.s join recurring.t y on y.k = 'C' and y.a = cast(e.i as varchar) and y.b = cast(e.g as varchar) and {merge("y.c", "e.selector")} = x.c
+    union select 'C', cast(v.instr_id as varchar), cast(h.g as varchar), x.c from t x join vsite v on x.k = 'F' and x.a = cast(v.f as varchar) join recurring.t y on y.k = 'P' and y.a = v.recv and y.c = x.c join hclass h on h.h = split_part(y.b, '@', 1) and h.selector = v.selector
+    union select 'C', cast(v.instr_id as varchar), cast(h.g as varchar), x.c from t x join vsite v on x.k = 'P' and x.a = v.recv join hclass h on h.h = split_part(x.b, '@', 1) and h.selector = v.selector join recurring.t y on y.k = 'F' and y.a = cast(v.f as varchar) and y.c = x.c))"""
+
+
+_COUNTED = "{0} select '{1}' as policy, count(distinct concat(a, c)) as nodes, count(*) as total from t where k = 'P'"
+
+
+def _stats_of(policy):
+    return lambda spark, d: stats.by_policy({policy.label: _built(spark, d, policy)[1].pts})
+
+
+for _n, _policy in enumerate(POLICIES[1:], 1):
+    QUERIES[f"stats_{_n}_context"], ORACLES[f"stats_{_n}_context"] = _stats_of(_policy), _COUNTED.format(_contexts(_n), _policy.label)
+
+
+@query(" union all ".join(f"select * from ({_COUNTED.format(_contexts(n), policy.label)})" for n, policy in enumerate(POLICIES)))
 def stats_by_policy(spark, d):
-    p = tables.program(spark, d, entries=10)
-    return stats.by_policy({policy.label: pointsto.build(p, policy).pts for policy in (NoContext(), CallString(1), CallString(2))})
+    return stats.by_policy({policy.label: _built(spark, d, policy)[1].pts for policy in POLICIES})
 
 
-@query()
+@query(f"{_contexts(2, 'corrected')} select concat(a, c) as node, b as heap from t where k = 'P'")
 def pts_program_corrected_2_context(spark, d):
-    return pointsto.build(tables.program(spark, d, entries=10), CallString(2), "corrected").pts
+    return _built(spark, d, CallString(2), "corrected")[1].pts
+
+
+@query(f"{_contexts(2)} select distinct cast(a as bigint) as fn_id, substr(c, 2) as ctx from t where k = 'F'")
+def reach_program_2_context(spark, d):
+    return _built(spark, d, CallString(2))[1].reach.select("fn_id", label(F.col("ctx")).alias("ctx"))
+
+
+@query(
+    f"{_contexts(1)}, node as (select distinct a, c from t where k = 'F'), e as (select f, s, t from pedge), "
+    "u as (select f, s, c from e join node on a = cast(f as varchar) union select f, t, c from e join node on a = cast(f as varchar) "
+    "union select vsite.f, varg.s, x.c from t x join varg on x.k = 'C' and x.a = cast(varg.i as varchar) and x.b = cast(varg.g as varchar) join vsite on vsite.instr_id = varg.i "
+    "union select varg.g, varg.t, concat('@', varg.selector) from t x join varg on x.k = 'C' and x.a = cast(varg.i as varchar) and x.b = cast(varg.g as varchar) "
+    "union select vret.g, vret.s, concat('@', vret.selector) from t x join vret on x.k = 'C' and x.a = cast(vret.i as varchar) and x.b = cast(vret.g as varchar) "
+    "union select vsite.f, vret.t, x.c from t x join vret on x.k = 'C' and x.a = cast(vret.i as varchar) and x.b = cast(vret.g as varchar) join vsite on vsite.instr_id = vret.i), "
+    "used as (select fn_id, target v from instr union select fn_id, source from instr where k <> 1 union select fn_id, fn_id * 100 + n from function, (values (0), (1)) p(n)) "
+    "select distinct used.v as var_id, substr(node.c, 2) as ctx from used join node on node.a = cast(used.fn_id as varchar) join u on u.s = concat('V', used.v) and u.c = node.c"
+)
+def variable_contexts(spark, d):
+    p, made = _built(spark, d, CallString(1))
+    return pointsto.contexts_of_nodes(p, made).select("var_id", label(F.col("ctx")).alias("ctx"))

@@ -10,34 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.storage import shared_path
+from pointweave.storage import Growing
 
 
 def semi_naive(start: DataFrame, step, name: str, known: DataFrame | None = None) -> DataFrame:
     """The least relation that holds start and is closed under step, a function from new rows to derived rows.
 
     known: rows that are there already and need no step; they are not part of the result."""
-    spark = start.sparkSession
-    path = shared_path(spark, name)
-    rounds = 0
-
-    def keep(rows: DataFrame) -> DataFrame:
-        rows = rows.distinct()
-        for old in [known] if known is not None else []:
-            rows = rows.join(old, start.columns, "left_anti")
-        if rounds:
-            rows = rows.join(spark.read.schema(start.schema).parquet(*(f"{path}/round={i}" for i in range(rounds))), start.columns, "left_anti")
-        return rows
-
+    found = Growing(start.sparkSession, name, start.schema)
     fresh = start
     while True:
-        keep(fresh).write.parquet(f"{path}/round={rounds}")
-        fresh = spark.read.schema(start.schema).parquet(f"{path}/round={rounds}")
-        rounds += 1
-        if fresh.isEmpty():
-            break
-        fresh = step(fresh).select(*start.columns)
-    return spark.read.schema(start.schema).parquet(*(f"{path}/round={i}" for i in range(rounds)))
+        fresh = fresh.select(*start.columns).distinct()
+        if known is not None:
+            fresh = fresh.join(known, start.columns, "left_anti")
+        if found.parts:
+            fresh = fresh.join(found.all, start.columns, "left_anti")
+        fresh, n = found.add(fresh)
+        if not n:
+            return found.all
+        fresh = step(fresh)
 
 
 def along(edge: DataFrame):
@@ -74,8 +65,16 @@ def closure(edge: DataFrame) -> DataFrame:
 
 
 def ancestors(classes: DataFrame) -> DataFrame:
-    """class_id, ancestor, depth from class(class_id, super_id); a class is its own ancestor at depth 0."""
+    """class_id, ancestor, depth (the least) from class(class_id, super_id); a class is its own ancestor at depth 0.
+
+    A hierarchy in which classes inherit from each other is walked once around."""
     up = classes.where("super_id is not null").select(F.col("class_id").alias("_c"), F.col("super_id").alias("_s"))
-    start = classes.select("class_id", F.col("class_id").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
-    step = lambda new: new.join(up, F.col("ancestor") == F.col("_c")).select("class_id", F.col("_s").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
-    return semi_naive(start, step, "ancestors")
+    found = Growing(classes.sparkSession, "ancestors", "class_id bigint, ancestor bigint, depth bigint")
+    pair, depth = ["class_id", "ancestor"], 0
+    fresh = classes.select("class_id", F.col("class_id").alias("ancestor")).distinct()
+    while True:
+        fresh, n = found.add(fresh.withColumn("depth", F.lit(depth).cast("bigint")))
+        if not n:
+            return found.all
+        depth += 1
+        fresh = fresh.join(up, F.col("ancestor") == F.col("_c")).select("class_id", F.col("_s").alias("ancestor")).distinct().join(found.all, pair, "left_anti")

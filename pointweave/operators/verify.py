@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.operators.delta import State, apply_changes
+from pointweave.operators.delta import State, apply_changes, restored, what_if
 from pointweave.operators.fixpoint import along
 from pointweave.operators.lookups import difference
 from pointweave.operators.scc import condensation, reverse
@@ -22,6 +22,12 @@ def level() -> int:
         return 0
 
 
+def checks(at: int | None = None) -> list[str]:
+    """The checks that are made at a level (the present one, if None)."""
+    at = level() if at is None else at
+    return ["round trip of each change"] * (at >= 1) + ["union invariant after each change", "arity of calls"] * (at >= 2) + ["names of changes"] * (at >= 3)
+
+
 def snapshot(pts: DataFrame) -> DataFrame:
     """A copy of the sets that later changes leave alone."""
     return written(pts.select("node", "heap"), "snapshot")
@@ -59,3 +65,11 @@ def round_trip(state: State, edges: DataFrame) -> tuple[State, DataFrame]:
     without, _ = apply_changes(state, log("del"))
     again, _ = apply_changes(without, log("add"))
     return again, difference(state.pts, again.pts).unionByName(difference(again.pts, state.pts))
+
+
+def round_trips(state: State, groups: DataFrame) -> DataFrame:
+    """id, lost, differ for each id of groups(id, src, dst) that changes a set: how many rows its deletion takes away, and
+    how many are still missing when its edges are back. Each id is deleted and added on its own, all ids at once."""
+    lost = written(what_if(state.edge, state.seed, state.pts, groups), "lost")
+    differ = restored(state.edge, state.pts, groups, lost).groupBy("id").agg(F.count(F.lit(1)).alias("differ"))
+    return lost.groupBy("id").agg(F.count(F.lit(1)).alias("lost")).join(differ, "id", "left").select("id", "lost", F.coalesce("differ", F.lit(0)).cast("long").alias("differ"))

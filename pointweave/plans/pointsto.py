@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.context import NoContext, variable
-from pointweave.operators import rules
+from pointweave.operators import hierarchy, rules, verify
 from pointweave.operators.fixpoint import along, semi_naive
 from pointweave.program import Program
-from pointweave.storage import written
+from pointweave.storage import Growing, written
 
 #: The largest program for the order-bound mode, which runs on the driver.
 SINGLE_SHOT_INSTR = 100_000
@@ -44,6 +44,17 @@ def reachable_functions(program: Program, policy=NoContext()) -> DataFrame:
     return _reach(program, _start(program, policy), policy)
 
 
+def reachable_by_hierarchy(program: Program, policy=NoContext()) -> DataFrame:
+    """fn_id, ctx reached from the entries over static calls, and over virtual calls bound to every method of the selector."""
+    static, resolved = program.static_functions(), written(program.resolved(), "resolved")
+
+    def step(new: DataFrame) -> DataFrame:
+        called = rules.bind_by_hierarchy(rules.virtual_sites(program.instr, new), resolved, policy)
+        return _pairs(rules.static_calls(program.instr, new, static, policy)).unionByName(_pairs(called))
+
+    return semi_naive(_start(program, policy), step, "reach-hierarchy")
+
+
 def _start(program: Program, policy) -> DataFrame:
     return program.functions.join(program.entries, "fn_id", "left_semi").select("fn_id", policy.initial(F.col("name_id")).alias("ctx"))
 
@@ -60,14 +71,13 @@ def build(program: Program, policy=NoContext(), profile: str = "reference", disp
         return _single_shot(program, policy, profile)
     spark = program.instr.sparkSession
     static, resolved = program.static_functions(), written(program.resolved(), "resolved")
-    empty = lambda s: spark.createDataFrame([], s)
-    edge, pts = empty("src string, dst string"), empty("node string, heap string")
-    seed, reach = empty("node string, heap string, class_id bigint"), empty("fn_id bigint, ctx array<bigint>")
-    calls = empty("instr_id bigint, ctx array<bigint>, target bigint, args array<bigint>, callee bigint, callee_ctx array<bigint>")
-    new_reach, new_calls = _start(program, policy), calls
+    edge, pts = Growing(spark, "edge", "src string, dst string"), Growing(spark, "pts", "node string, heap string")
+    seed, reach = Growing(spark, "seed", "node string, heap string, class_id bigint"), Growing(spark, "reach", "fn_id bigint, ctx array<bigint>")
+    calls = Growing(spark, "calls", "instr_id bigint, ctx array<bigint>, target bigint, args array<bigint>, callee bigint, callee_ctx array<bigint>")
+    new_reach, new_calls = _start(program, policy), calls.all
     while True:
-        new_reach = written(_reach(program, new_reach, policy, reach), "reach")
-        reach = written(reach.unionByName(new_reach), "reach-all")
+        before = reach.all
+        new_reach, _ = reach.add(_reach(program, new_reach, policy, before))
         called = rules.static_calls(program.instr, new_reach, static, policy)
         made = (
             rules.body_edges(program.instr, new_reach)
@@ -76,18 +86,33 @@ def build(program: Program, policy=NoContext(), profile: str = "reference", disp
             .unionByName(rules.virtual_argument_edges(new_calls, program.params))
             .unionByName(rules.virtual_return_edges(new_calls, program.instr))
         )
-        new_edge = written(made.distinct().join(edge, ["src", "dst"], "left_anti"), "edge-new")
-        new_seed = written(rules.alloc_seeds(program.instr, new_reach).distinct(), "seed-new")
-        edge, seed = written(edge.unionByName(new_edge), "edge"), written(seed.unionByName(new_seed), "seed")
-        start = new_seed.select("node", "heap").unionByName(along(new_edge)(pts))
-        pts = written(pts.unionByName(semi_naive(start, along(edge), "pts", pts)), "pts-all")
-        bound = rules.bind(rules.virtual_sites(program.instr, reach), pts, seed.select("heap", "class_id").distinct(), resolved, policy)
-        key = ["instr_id", "ctx", "callee"]
-        new_calls = written(bound.join(calls.select(key), key, "left_anti"), "calls-new")
-        if new_calls.isEmpty():
-            return Analysis(edge, seed, pts, reach, calls, profile, policy)
-        calls = written(calls.unionByName(new_calls), "calls")
-        new_reach = written(_pairs(new_calls).distinct().join(reach, ["fn_id", "ctx"], "left_anti"), "reach-new")
+        new_edge, _ = edge.add(made.distinct().join(edge.all, ["src", "dst"], "left_anti"))
+        new_seed, _ = seed.add(rules.alloc_seeds(program.instr, new_reach).distinct())
+        old_pts = pts.all
+        start = new_seed.select("node", "heap").unionByName(along(new_edge)(old_pts))
+        new_pts, _ = pts.add(semi_naive(start, along(edge.all), "pts-new", old_pts))
+        # a call site of an old function is bound anew by new heap items only, one of a new function by all
+        types = seed.all.select("heap", "class_id").distinct()
+        bound = rules.bind(rules.virtual_sites(program.instr, before), new_pts, types, resolved, policy)
+        bound = bound.unionByName(rules.bind(rules.virtual_sites(program.instr, new_reach), pts.all, types, resolved, policy))
+        new_calls, n = calls.add(bound.distinct().join(calls.all.select("instr_id", "ctx", "callee"), ["instr_id", "ctx", "callee"], "left_anti"))
+        if not n:
+            made = Analysis(edge.all, seed.all, pts.all, reach.all, calls.all, profile, policy)
+            return _checked(made, program)
+        new_reach = _pairs(new_calls).distinct().join(reach.all, ["fn_id", "ctx"], "left_anti")
+
+
+def _checked(made: Analysis, program: Program) -> Analysis:
+    """The analysis, looked through if POINTWEAVE_VERIFY asks for it: sets are the unions of what comes in, and no call
+    leaves out parameters."""
+    if verify.level() >= 1:
+        if not verify.union_violations(made.edge, made.seed, made.pts).isEmpty():
+            raise RuntimeError("points-to sets are not the unions of their predecessors' sets")
+    if verify.level() >= 2:
+        sized = made.calls.select("instr_id", F.col("callee").alias("fn_id"), F.size("args").cast("bigint").alias("n_args"))
+        if not hierarchy.arity_errors(sized, program.params).isEmpty():
+            raise RuntimeError("a virtual call passes fewer arguments than its callee takes")
+    return made
 
 
 def _single_shot(program: Program, policy, profile: str) -> Analysis:

@@ -12,22 +12,25 @@ from pointweave.program import Program
 from pointweave.storage import written
 
 SQL: dict[str, str] = {
-    "supply_seed": "select concat('S', s_suppkey) node, cast(s_suppkey as bigint) heap from supplier",
+    # a supplier's nation is what flows along; every line is an edge
+    "supply_seed": "select concat('S', s_suppkey) node, cast(s_nationkey as bigint) heap from supplier",
     "supply_edge": """
-        select distinct concat('S', l_suppkey) src, concat('P', l_partkey) dst from lineitem where l_linenumber = 1
-        union select concat('P', l_partkey), concat('O', l_orderkey) from lineitem where l_linenumber = 1
+        select distinct concat('S', l_suppkey) src, concat('P', l_partkey) dst from lineitem
+        union select concat('P', l_partkey), concat('O', l_orderkey) from lineitem
         union select concat('O', o_orderkey), concat('C', o_custkey) from orders
         union select concat('C', c_custkey), concat('N', c_nationkey) from customer
         union select concat('N', n_nationkey), concat('R', n_regionkey) from nation""",
+    # transitions between a user's tokens (in 40 groups) within a day
     "token_edge": """
-        select distinct k src, nk dst from (
-          select k, lead(k) over (partition by user_id order by ts, event_id) nk, event_type
-          from (select cast(regexp_extract(props, '([0-9]+)', 1) as bigint) k, user_id, ts, event_id, event_type from events) a) b
-        where nk is not null and k <> nk and event_type = 'signup' and (k * 7 + nk) % 11 = 0""",
+        select distinct src, dst from (
+          select node src, lead(node) over (partition by user_id, day order by ts, event_id) dst
+          from (select user_id, ts, event_id, cast(ts as date) as day, cast(user_id * 100 + cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 40 as bigint) node from events) a) b
+        where dst is not null and src <> dst""",
+    # every event adds or deletes an edge between two of a user's 16 nodes, each of which has two possible successors
     "change": """
-        select cast(event_id as bigint) seq, case when event_type = 'signup' then 'add' else 'del' end op,
-          cast(regexp_extract(props, '([0-9]+)', 1) as bigint) src, cast((user_id * 13 + cast(floor(value) as bigint)) % 100 as bigint) dst
-        from events where event_type in ('signup', 'error')""",
+        select seq, op, u * 100 + k src, u * 100 + (k * 7 + 3 + v) % 16 dst from (
+          select cast(event_id as bigint) seq, case when event_type in ('signup', 'view', 'click') then 'add' else 'del' end op, cast(user_id as bigint) u,
+            cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 16 k, cast(floor(value) as bigint) % 2 v from events) a""",
     "class": """
         select cast(0 as bigint) class_id, cast(null as bigint) super_id
         union all select cast(1 + r_regionkey as bigint), cast(0 as bigint) from region
@@ -40,11 +43,13 @@ SQL: dict[str, str] = {
         select f, k, pk, sk, cast(2 * ((pk * 31 + sk) % cast(floor((select count(*) from customer) / 2) as bigint)) as bigint) static_callee
         from (select distinct cast(o_custkey as bigint) f, cast(l_linenumber as bigint) k, cast(l_partkey as bigint) pk, cast(l_suppkey as bigint) sk
               from lineitem join orders on l_orderkey = o_orderkey) t""",
+    # the same lines, but calls are as rare as in programs: the others of the call lines are loads and stores
     "raw_program": """
         select f, k, pk, sk, cast(2 * ((pk * 31 + sk) % cast(floor((select count(*) from customer) / 2) as bigint)) as bigint) static_callee
-        from (select distinct cast(o_custkey as bigint) f, cast(l_linenumber as bigint) k, cast(l_partkey as bigint) pk, cast(l_suppkey as bigint) sk
-              from lineitem join orders on l_orderkey = o_orderkey
-              where l_linenumber not in (5, 6) or l_linenumber = 5 and l_discount >= 0.1 or l_linenumber = 6 and l_discount >= 0.08) t""",
+        from (select distinct cast(o_custkey as bigint) f,
+                cast(case when l_linenumber = 5 and l_discount < 0.1 then 4 when l_linenumber = 6 and l_discount < 0.1 then 3 else l_linenumber end as bigint) k,
+                cast(l_partkey as bigint) pk, cast(l_suppkey as bigint) sk
+              from lineitem join orders on l_orderkey = o_orderkey) t""",
     "ssa": """
         select f fn_id, cast(pk % 1000 as int) pos,
           case cast(pk % 13 as int) when 0 then 'array_load' when 1 then 'array_store' when 2 then 'return' when 3 then 'invoke' when 4 then 'get_field' when 5 then 'put_field'
@@ -94,14 +99,16 @@ def instructions(spark: SparkSession, sf_dir: str, raw: str = "raw_instr") -> Da
     )
 
 
-def program(spark: SparkSession, sf_dir: str, entries: int = 40, raw: str = "raw_program") -> Program:
-    """The derived program: parameters are a function's variables 0 and 1, entries the functions below that number.
+def program(spark: SparkSession, sf_dir: str, entries: int | None = None, raw: str = "raw_program") -> Program:
+    """The derived program: parameters are a function's variables 0 and 1, entries all functions, or those below a number.
 
-    raw_instr takes every line as an instruction; raw_program calls less, as programs do, or all sets become alike."""
+    Every line is an instruction. raw_instr calls in two of seven; raw_program calls less, as programs do, or all sets
+    become alike."""
     functions = frame(spark, sf_dir, "function")
     params = functions.select("fn_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")).withColumn("var_id", F.col("fn_id") * 100 + F.col("pos"))
     instr = written(instructions(spark, sf_dir, raw), "instr")
-    return Program(frame(spark, sf_dir, "class"), functions, params, instr, functions.where(F.col("fn_id") < entries).select("fn_id"))
+    chosen = functions if entries is None else functions.where(F.col("fn_id") < entries)
+    return Program(frame(spark, sf_dir, "class"), functions, params, instr, chosen.select("fn_id"))
 
 
 def ssa(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,3 +116,15 @@ def ssa(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = frame(spark, sf_dir, "ssa")
     uses = F.when(F.col("op") == "return", F.when(F.col("use1") % 7 == 0, F.array().cast("array<bigint>")).otherwise(F.array("use0"))).otherwise(F.array("use0", "use1"))
     return raw.withColumn("uses", uses).drop("use0", "use1")
+
+
+def fingerprint(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What tells the tables' present files from earlier ones: path, length and time of change of each."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in names:
+        for file in sorted(spark.read.parquet(f"{sf_dir}/{name}.parquet").inputFiles()):
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+            status = path.getFileSystem(hadoop).getFileStatus(path)
+            found.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(found)
