@@ -52,7 +52,7 @@ WORDS = 5
 #: Bands of larger sets use whole segments.
 SAMPLE_SETS, SAMPLE_SIZE, PAIR_COST = 3_000, 1 << 12, 64
 #: Signatures aimed at in a bucket, and held back on the map side at once.
-BUCKET_ROWS, FLUSH = 100_000, 1_000_000
+BUCKET_ROWS, FLUSH = 100_000, 400_000
 #: Signatures with more classes are not paired.
 FEW = 8
 #: Classes and shingles aimed at in a block of a family, and cells of a matrix in a tile.

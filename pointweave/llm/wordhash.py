@@ -11,7 +11,7 @@ import numpy as np
 
 from pointweave.llm.bloom import mix
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
