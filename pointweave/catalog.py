@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pointweave.functions import lowering
 from pointweave.functions.context import POLICIES, CallString, NoContext, label
 from pointweave.operators import changes, delta, fixpoint, hierarchy, lookups, rules, scc, stats, verify
-from pointweave.plans import pointsto
+from pointweave.plans import assemble, pointsto
 from pointweave.program import Program
 from pointweave.schema import KINDS
 from pointweave.sources import scope, tables
@@ -812,3 +812,75 @@ def reach_program_2_context(spark, d):
 def variable_contexts(spark, d):
     p, made = _built(spark, d, CallString(1))
     return pointsto.contexts_of_nodes(p, made).select("var_id", label(F.col("ctx")).alias("ctx"))
+
+
+# --- from SSA form to sets --------------------------------------------------------------------------------------------
+
+_V0, _V1 = _V("use0"), _V("use1")
+_FROM_SSA = f"""with recursive {cte('raw_instr', 'ssa', 'ssa_function', 'ssa_class')},
+low as (select distinct * from (
+  select fn_id, pos, 'load' kind, {_DEF} target, {_V0} source, 'array' field, null type_name, null method, null a0, null a1 from ssa where op = 'array_load' and not is_primitive
+  union all select fn_id, pos, 'store', {_V0}, {_V1}, 'array', null, null, null, null from ssa where op = 'array_store' and not is_primitive
+  union all select fn_id, pos, 'return', null, {_V0}, null, null, null, null, null from ssa where op = 'return' and not is_primitive and use1 % 7 <> 0
+  union all select fn_id, pos, 'vcall', {_DEF}, {_V0}, null, null, selector, {_V0}, {_V1} from ssa where op = 'invoke' and {_VIRTUAL}
+  union all select fn_id, pos, 'scall', {_DEF}, null, null, null, signature, {_V0}, {_V1} from ssa where op = 'invoke' and not {_VIRTUAL}
+  union all select fn_id, pos, case when is_static then 'assign' else 'load' end, {_DEF}, case when is_static then concat('static:', field) else {_V0} end, case when is_static then null else field end, null, null, null, null from ssa where op = 'get_field'
+  union all select fn_id, pos, case when is_static then 'assign' else 'store' end, case when is_static then concat('static:', field) else {_V0} end, case when is_static then {_V0} else {_V1} end, case when is_static then null else field end, null, null, null, null from ssa where op = 'put_field'
+  union all select fn_id, pos, 'assign', {_DEF}, {_V0}, null, null, null, null, null from ssa where op in ('check_cast', 'pi', 'phi')
+  union all select fn_id, pos, 'assign', {_DEF}, {_V1}, null, null, null, null, null from ssa where op = 'phi'
+  union all select fn_id, pos, 'alloc', {_DEF}, null, null, type_name, null, null, null from ssa where op = 'new' and type_name in (select name from ssa_class)
+  union all select fn_id, pos, 'assign', {_DEF}, concat('tok:', token), null, null, null, null, null from ssa where op = 'metadata') l),
+named as (select fn_id, static_flag or contains(signature, '<init>') is_static, case when static_flag or contains(signature, '<init>') then signature else selector end name, class_name from ssa_function),
+static_of as (select name, max(fn_id) fn_id from named where is_static group by name),
+method_of as (select class_name, name, max(fn_id) fn_id from named where not is_static group by class_name, name),
+up(name, ancestor, depth) as (select name, name, 0 from ssa_class union select u.name, c.super_name, depth + 1 from up u join ssa_class c on c.name = u.ancestor where c.super_name is not null),
+found as (select u.name class_name, m.name, arg_min(m.fn_id, depth) fn_id from up u join method_of m on m.class_name = u.ancestor group by 1, 2),
+heap as (select fn_id f, concat(fn_id, '@', pos, ':', target, ':', type_name) h, target v, type_name from low where kind = 'alloc'),
+par as (select fn_id, i, concat(fn_id, '#', i + 1) v from ssa_function, (values (0), (1)) x(i)),
+ret as (select fn_id, source from low where kind = 'return'),
+fedge as (select distinct l.fn_id f, s.fn_id g from low l join static_of s on s.name = l.method where kind = 'scall'),
+pedge as (select fn_id f, source s, target t from low where kind = 'assign' union select fn_id, source, concat(target, '.', field) from low where kind = 'store'
+  union select fn_id, concat(source, '.', field), target from low where kind = 'load' union select f, h, v from heap
+  union select l.fn_id, case when i = 0 then a0 else a1 end, p.v from low l join static_of s on s.name = l.method join par p on p.fn_id = s.fn_id where kind = 'scall'
+  union select l.fn_id, l.target, r.source from low l join static_of s on s.name = l.method join ret r on r.fn_id = s.fn_id where kind = 'scall' and l.target is not null),
+vsite as (select row_number() over () i, * from (select distinct fn_id f, source recv, target tgt, method, a0, a1 from low where kind = 'vcall') x),
+vedge as (select i, m.fn_id g, case when p.i_ = 0 then a0 else a1 end s, p.v t from vsite join (select distinct name, fn_id from found) m on m.name = method join (select fn_id, i i_, v from par) p on p.fn_id = m.fn_id
+  union select i, m.fn_id, r.source, tgt from vsite join (select distinct name, fn_id from found) m on m.name = method join ret r on r.fn_id = m.fn_id where tgt is not null),
+t(k, a, b) as (
+  select 'F', cast(fn_id as varchar), '' from ssa_function where fn_id < 100
+  union (
+    select 'F', cast(e.g as varchar), '' from t x join fedge e on x.k = 'F' and x.a = cast(e.f as varchar)
+    union select 'F', x.b, '' from t x where x.k = 'C'
+    union select 'P', h, h from t x join heap on x.k = 'F' and x.a = cast(f as varchar)
+    union select 'P', e.t, y.b from t x join pedge e on x.k = 'F' and x.a = cast(e.f as varchar) join recurring.t y on y.k = 'P' and y.a = e.s
+    union select 'P', e.t, x.b from t x join pedge e on x.k = 'P' and x.a = e.s join recurring.t y on y.k = 'F' and y.a = cast(e.f as varchar)
+    union select 'P', e.t, y.b from t x join vedge e on x.k = 'C' and x.a = cast(e.i as varchar) and x.b = cast(e.g as varchar) join recurring.t y on y.k = 'P' and y.a = e.s
+    union select 'P', e.t, x.b from t x join vedge e on x.k = 'P' and x.a = e.s join recurring.t y on y.k = 'C' and y.a = cast(e.i as varchar) and y.b = cast(e.g as varchar)
+    union select 'C', cast(v.i as varchar), cast(c.fn_id as varchar) from t x join vsite v on x.k = 'F' and x.a = cast(v.f as varchar) join recurring.t y on y.k = 'P' and y.a = v.recv join heap h on h.h = y.b join found c on c.class_name = h.type_name and c.name = v.method
+    union select 'C', cast(v.i as varchar), cast(c.fn_id as varchar) from t x join vsite v on x.k = 'P' and x.a = v.recv join heap h on h.h = x.b join found c on c.class_name = h.type_name and c.name = v.method join recurring.t y on y.k = 'F' and y.a = cast(v.f as varchar)))"""
+
+
+def _from_ssa(spark, d):
+    def make():
+        functions, classes = tables.frame(spark, d, "ssa_function"), tables.frame(spark, d, "ssa_class")
+        types = classes.select(F.col("name").alias("type_name"))
+        lowered = lowering.lower(tables.ssa(spark, d), types)
+        held = functions.select("fn_id", "class_name").join(lowering.lower_functions(functions), "fn_id")
+        params = lowering.parameters(functions.select("fn_id", "signature", F.lit(2).alias("n_params")))
+        return assemble.assemble(lowered, held, params, classes, functions.where("fn_id < 100").select("fn_id"))
+
+    return _once(spark, d, "from-ssa", _PROGRAM_TABLES, make)
+
+
+@query(f"{_FROM_SSA} select a as node, b as heap from t where k = 'P'")
+def pts_from_ssa(spark, d):
+    """Instructions in SSA form lowered, their names numbered, the program analysed, and its sets named again."""
+    program, known, instr = _from_ssa(spark, d)
+    return assemble.named(pointsto.build(program).pts, known, instr)
+
+
+@query(f"{_FROM_SSA} select 'variable' as space, count(*) as n from (select target from low where target is not null union select source from low where source is not null union select a0 from low where a0 is not null union select a1 from low where a1 is not null union select v from par) x "
+       "union all select 'field', count(distinct field) from low union all select 'class', count(*) from (select type_name from low where type_name is not null union select class_name from named union select name from ssa_class) x "
+       "union all select 'method', count(*) from (select method from low where method is not null union select name from named) x")
+def interned_names(spark, d):
+    return _from_ssa(spark, d)[1].groupBy("space").agg(F.count(F.lit(1)).alias("n"))

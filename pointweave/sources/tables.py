@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.program import Program
-from pointweave.storage import written
+from pointweave.storage import numbered, written
 
 SQL: dict[str, str] = {
     # a supplier's nation is what flows along; every line is an edge
@@ -58,6 +58,11 @@ SQL: dict[str, str] = {
           pk % 13 = 3 is_dispatch, sk % 5 < 3 is_special, concat('sig', sk % 20, case when sk % 7 = 0 then '.<init>' else '' end) signature, concat('sel', sk % 5) selector,
           concat('f', sk % 4) field, concat('T', sk % 30) type_name, concat('k', sk % 9) token
         from raw_instr""",
+    # functions of the program in SSA form, methods of a binary tree of classes
+    "ssa_function": """
+        select cast(c_custkey as bigint) fn_id, concat('sig', c_custkey % 20, case when c_custkey % 7 = 0 then '.<init>' else '' end) signature, concat('sel', c_custkey % 5) selector,
+          c_custkey % 2 = 0 static_flag, concat('T', c_custkey % 30) class_name from customer""",
+    "ssa_class": "select distinct concat('T', s_suppkey % 30) name, case when s_suppkey % 30 > 0 then concat('T', cast(floor(s_suppkey % 30 / 2) as int)) end super_name from supplier",
 }
 
 
@@ -73,20 +78,6 @@ def frame(spark: SparkSession, sf_dir: str, name: str, **more: DataFrame) -> Dat
     return spark.sql(text, **{k: v for k, v in more.items() if "{" + k + "}" in text})
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with name: 1, 2, ... in the order of its columns. Ranges are sorted on their own and told the sizes of those before."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = written(placed.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"), "*"), "numbered")
-    sizes = sorted((r._p, r.n) for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
-    before, rows = 0, []
-    for p, n in sizes:
-        rows.append((p, before))
-        before += n
-    starts = df.sparkSession.createDataFrame(rows, "_p int, _before bigint")
-    local = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(starts), "_p").withColumn(name, F.col("_before") + local + 1).drop("_p", "_i", "_before")
-
-
 def instructions(spark: SparkSession, sf_dir: str, raw: str = "raw_instr") -> DataFrame:
     """The instructions of the derived program (schema.INSTR), one of seven kinds by line number."""
     raw = numbered(frame(spark, sf_dir, raw), ["f", "k", "pk", "sk"], "instr_id")

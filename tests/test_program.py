@@ -74,3 +74,38 @@ def test_time_statistics(spark):
 def test_program_round_trip(spark, tmp_path):
     golden(spark).write_parquet(str(tmp_path / "p"))
     assert Program.read_parquet(spark, str(tmp_path / "p")).instr.count() == 7
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    """A new maintainer on the same folder has the old one's state; a batch that comes again changes nothing."""
+    schema = "seq bigint, op string, src bigint, dst bigint"
+    state = delta.start(spark.createDataFrame([(1, 2)], "src bigint, dst bigint"), spark.createDataFrame([(1, 7)], "node bigint, heap bigint"))
+    first = Maintainer(state, str(tmp_path / "state"))
+    first(spark.createDataFrame([(1, "add", 2, 3)], schema), 0)
+    again = Maintainer(state, str(tmp_path / "state"))
+    assert again.last == 0
+    again(spark.createDataFrame([(1, "del", 1, 2)], schema), 0)
+    again(spark.createDataFrame([(2, "add", 3, 4)], schema), 1)
+    assert {(r.node, r.heap) for r in again.state.pts.collect()} == {(n, 7) for n in (1, 2, 3, 4)}
+
+
+def test_cyclic_hierarchies_end(spark):
+    from pointweave.operators import fixpoint
+
+    classes = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "class_id bigint, super_id bigint")
+    got = {(r.class_id, r.ancestor): r.depth for r in fixpoint.ancestors(classes).collect()}
+    assert got == {(1, 1): 0, (1, 2): 1, (1, 3): 2, (2, 2): 0, (2, 3): 1, (2, 1): 2, (3, 3): 0, (3, 1): 1, (3, 2): 2, (4, 4): 0, (4, 1): 1, (4, 2): 2, (4, 3): 3}
+
+
+def test_checks_after_construction(spark, monkeypatch):
+    monkeypatch.setenv("POINTWEAVE_VERIFY", "2")
+    assert pointsto.build(golden(spark)).pts.count() == 10
+
+
+def test_change_times_of_instructions(spark):
+    from pointweave.plans import benchmark
+
+    found = benchmark.measure(golden(spark), NoContext(), golden(spark).instr.where("instr_id in (1, 4, 5)"))
+    assert found.nodes == 10 and found.total == 10 and set(found.phases) == {"initial graph"}
+    got = {r.op: r for r in found.times(spark).collect()}
+    assert got["del"].n == got["add"].n == 2 and got["del"].min_ms <= got["del"].mean_ms <= got["del"].max_ms <= got["del"].total_ms
