@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pointweave.llm.common import session, ship
+from pointweave.llm.common import lean, session, ship
 
 #: Bits of the filter for each row, and the most bits it may have (32 MB).
 BITS_A_ROW, MAX_BITS = 16, 1 << 28
@@ -107,9 +107,9 @@ def repeated_filter(df: DataFrame, column: str, rows: int, max_bits: int = MAX_B
     parts = max(1, min(segments, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     merged = (
         df.select(column)
-        .mapInArrow(partial, "segment long, met binary, again binary")
+        .mapInArrow(lean(partial), "segment long, met binary, again binary")
         .repartition(parts, "segment")
-        .mapInArrow(merge, "segment long, plane binary")
+        .mapInArrow(lean(merge), "segment long, plane binary")
     )
     out = np.zeros(bits // 8, np.uint8)
     for r in merged.collect():  # at most max_bits, whatever the input

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import session, ship
+from pointweave.llm.common import lean, session, ship
 
 #: The splitting pattern of byte-level BPE files whose pre-tokenizer is ByteLevel with use_regex (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -331,7 +331,7 @@ def round_trip(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
             bpe.release()
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, ids binary, n_tokens long, exact boolean")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(lean(run), f"{schema}, ids binary, n_tokens long, exact boolean")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -357,4 +357,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             bpe.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from pointweave.storage import shared_path, written
 
-__all__ = ["ARROW_BATCH", "HOT_GROUPS", "crc_mod", "filesystem", "fresh", "join_groups", "sampled", "session", "shared_path", "shared_uri", "ship", "table", "whole_row", "written"]
+__all__ = ["ARROW_BATCH", "HOT_GROUPS", "crc_mod", "filesystem", "fresh", "join_groups", "lean", "sampled", "session", "shared_path", "shared_uri", "ship", "table", "whole_row", "written"]
 
 #: The most rows and bytes of an Arrow batch.
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 #: At most this many groups can each hold more than one part in HOT_GROUPS of all rows.
 HOT_GROUPS = 1000
 
@@ -62,6 +62,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy() -> None:
+    """Gives memory that is free back to the system; allocators keep it otherwise, and workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A function of Arrow batches that leaves its worker without the memory it no longer needs."""
+
+    def whole(batches):
+        from pointweave.llm.common import tidy
+
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, so that whatever they are called they meet no column of an operator's own."""
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.llm.bloom import MAX_BITS, maybe_repeated, repeated_filter
-from pointweave.llm.common import join_groups, session, ship, whole_row, written
+from pointweave.llm.common import join_groups, lean, session, ship, whole_row, written
 
 
 def _digests(docs: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def _marked(digests: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
             h = b.column("h").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), pa.array(maybe_repeated(h, held.value, bits))], ["doc_id", "sha", "maybe"])
 
-    return digests.mapInArrow(test, f"doc_id {digests.schema['doc_id'].dataType.simpleString()}, sha binary, maybe boolean")
+    return digests.mapInArrow(lean(test), f"doc_id {digests.schema['doc_id'].dataType.simpleString()}, sha binary, maybe boolean")
 
 
 def annotate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -64,11 +64,9 @@ def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     spark = session(docs)
     held = spark.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def maybe(h):
-        import pandas as pd
-
-        return pd.Series(maybe_repeated(h.to_numpy(), held.value, bits))
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(maybe_repeated(h.to_numpy(zero_copy_only=False), held.value, bits))
 
     sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     tested = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("own"), sha.alias("_sha")).withColumn("maybe", maybe(F.xxhash64("_sha")))

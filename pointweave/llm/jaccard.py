@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.llm.bloom import maybe_repeated, mix, repeated_filter
-from pointweave.llm.common import join_groups, session, ship, whole_row, written
+from pointweave.llm.common import join_groups, lean, session, ship, whole_row, written
 from pointweave.llm.components import components
 from pointweave.llm.wordhash import word_hashes
 
@@ -202,7 +202,7 @@ def _slim(docs: DataFrame, plan: dict[int, bool]) -> DataFrame:
                     found[:, i] = (len(t), *jaccard.set_keys(t), js[0] if js else -1, *(e + [0, 0])[:2])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, found)], ["doc_id", "n", "key", "check", "band", "e0", "e1"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, check long, band long, e0 long, e1 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n long, key long, check long, band long, e0 long, e1 long")
 
 
 def _sampled_sets(docs: DataFrame, rows: int) -> list[np.ndarray]:
@@ -216,7 +216,7 @@ def _sampled_sets(docs: DataFrame, rows: int) -> list[np.ndarray]:
 
     share = min(1.0, SAMPLE_SETS / max(1, rows))
     picked = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(14)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    return [np.frombuffer(r.t, _U) for r in picked.select("text").mapInArrow(run, "t binary").collect()]
+    return [np.frombuffer(r.t, _U) for r in picked.select("text").mapInArrow(lean(run), "t binary").collect()]
 
 
 def _signed(docs: DataFrame, plan: dict[int, bool], buckets: int) -> DataFrame:
@@ -261,7 +261,7 @@ def _signed(docs: DataFrame, plan: dict[int, bool], buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket long, sigs binary, keys binary")
+    return docs.select("text").mapInArrow(lean(run), "bucket long, sigs binary, keys binary")
 
 
 def _count_pairs(s: np.ndarray, k: np.ndarray):
@@ -324,7 +324,7 @@ def _met(signed: DataFrame, parts: int) -> DataFrame:
         if sigs:
             yield out(now, *done())
 
-    return signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "grp long, a long, b long, scheme long, n long")
+    return signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "grp long, a long, b long, scheme long, n long")
 
 
 def _bound(plan: dict[int, bool], scheme, sizes_sum, empty):
@@ -403,7 +403,7 @@ def _counted(heavy: DataFrame, plan: dict[int, bool]) -> DataFrame:
             if (links := done(sides)) is not None:
                 yield links
 
-    return dealt.select("tile", "side", "key", "scheme", "band", "n", "e", "grps").mapInArrow(count, "a long, b long")
+    return dealt.select("tile", "side", "key", "scheme", "band", "n", "e", "grps").mapInArrow(lean(count), "a long, b long")
 
 
 def _tiles(batches, columns: tuple[str, ...]):
@@ -504,11 +504,9 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     bitmap, bits = repeated_filter(some.select(F.xxhash64("_of").alias("h")), "h", some.count(), least=1)
     held = spark.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def maybe(h):
-        import pandas as pd
-
-        return pd.Series(maybe_repeated(h.to_numpy(), held.value, bits))
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(maybe_repeated(h.to_numpy(zero_copy_only=False), held.value, bits))
 
     def shingled(batches):
         from pointweave.llm import jaccard
@@ -537,9 +535,9 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(maybe(F.xxhash64(F.col("doc_id"))))
     # a class all of whose rows have no doc_id is found by the null
     found = hashed.join(some, F.col("doc_id").eqNullSafe(F.col("_of"))).select("text", "key", "check", "node", "tiles")
-    found = found.mapInArrow(shingled, "node long, tiles array<struct<tile:string,side:int>>, tokens binary")
+    found = found.mapInArrow(lean(shingled), "node long, tiles array<struct<tile:string,side:int>>, tokens binary")
     dealt = found.select("node", "tokens", F.inline("tiles")).repartition("tile").sortWithinPartitions("tile")
-    return written(dealt.select("tile", "side", "node", "tokens").mapInArrow(verify, "a long, b long"), "links")
+    return written(dealt.select("tile", "side", "node", "tokens").mapInArrow(lean(verify), "a long, b long"), "links")
 
 
 def _blocks(count, largest):
@@ -673,11 +671,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     bitmap, bits = repeated_filter(doubtful.select(F.xxhash64("_id").alias("h")), "h", doubtful.count(), least=1)
     held = spark.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def maybe(h):
-        import pandas as pd
-
-        return pd.Series(maybe_repeated(h.to_numpy(), held.value, bits))
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(maybe_repeated(h.to_numpy(zero_copy_only=False), held.value, bits))
 
     wrapped = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("own"), F.col("text").alias("said"))
     tested = wrapped.withColumn("maybe", maybe(F.xxhash64("own")))
@@ -687,17 +683,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     if some.isEmpty():
         return out.select("row.*")
 
-    @F.pandas_udf("string")
-    def set_name(text):
-        import pandas as pd
-
+    @F.arrow_udf("string")
+    def set_name(text: pa.Array) -> pa.Array:
         from pointweave.llm import jaccard
 
         names = [None] * len(text)
-        for i, t in jaccard.sets([None if t is None else t.encode("utf-8", "surrogatepass") for t in text]):
+        for i, t in jaccard.sets(text.cast(pa.binary()).to_pylist()):
             if len(t):
                 names[i] = "{}:{}".format(*jaccard.set_keys(t))
-        return pd.Series(names, dtype=object)
+        return pa.array(names, pa.string())
 
     kept = marked.where("stays and key is not null").join(some, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     kept = kept.select(F.col("doc_id").alias("_id"), F.concat_ws(":", "key", "check").alias("_set")).distinct()

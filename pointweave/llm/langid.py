@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pointweave.llm.common import crc_mod, sampled, session, ship, whole_row
+from pointweave.llm.common import crc_mod, lean, sampled, session, ship, whole_row
 
 #: Buckets of the hashed n-grams, their lengths, and the additive smoothing.
 BUCKETS, ORDERS, ALPHA = 1 << 15, (1, 2, 3), 0.1
@@ -134,7 +134,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             names = [lang] * (len(at) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.r_[at, -1]), pa.array(np.r_[held[at], docs_of[lang]])], ["lang", "bucket", "n"])
 
-    found = labelled.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = labelled.mapInArrow(lean(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     logp = np.zeros((len(langs), BUCKETS + 1), np.float32)
     prior = np.zeros(len(langs))
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
     slim = docs.select(*keep, F.col("text").alias("_text"))
     kinds = StructType([slim.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
-    return slim.mapInArrow(score, kinds)
+    return slim.mapInArrow(lean(score), kinds)
 
 
 def held_out(docs: DataFrame):
