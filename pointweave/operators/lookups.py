@@ -18,15 +18,6 @@ def delete(edge: DataFrame, dels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edge.join(dels.select(*edge.columns), edge.columns, "left_anti"), there
 
 
-def existing(pairs: DataFrame, edge: DataFrame) -> DataFrame:
-    """The pairs (src, dst) that are edges; the same as crossing contexts and filtering, without the cross product."""
-    return pairs.join(edge, ["src", "dst"], "left_semi")
-
-
-def novel(new: DataFrame, known: DataFrame) -> DataFrame:
-    return new.join(known, known.columns, "left_anti")
-
-
 def successors(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     """src, dst of the edges that leave nodes(node)."""
     return edge.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
@@ -59,11 +50,6 @@ def net_edges(log: DataFrame) -> DataFrame:
     return net_changes(log).where("op = 'add' and src <> dst").select("src", "dst")
 
 
-def grouped(rel: DataFrame, key: str, value: str) -> DataFrame:
-    """The nested view of a set-valued map: key, values (sorted array)."""
-    return rel.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values"))
-
-
 def joined_text(rel: DataFrame, key: str, value: str, delimiter: str = ",") -> DataFrame:
     """key, text: the sorted values joined by the delimiter."""
     return rel.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(F.col(value).cast("string"))), delimiter).alias("text"))
