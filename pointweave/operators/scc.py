@@ -10,7 +10,7 @@ colour are the root's component, whose least node the root is. They are taken of
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,17 +59,20 @@ def tarjan(out: dict) -> dict:
 
 
 def _in_one_task(edge: DataFrame) -> DataFrame:
-    def run(frames):
+    def run(batches):
         out: dict = {}
-        for f in frames:
-            for a, b in zip(f["src"].tolist(), f["dst"].tolist()):
+        kind = None
+        for batch in batches:
+            kind = batch.column("src").type
+            for a, b in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist()):
                 out.setdefault(a, []).append(b)
                 out.setdefault(b, [])
-        rep = tarjan(out)
-        yield pd.DataFrame({"node": list(rep), "rep": list(rep.values())})
+        if out:
+            rep = tarjan(out)
+            yield pa.RecordBatch.from_arrays([pa.array(list(rep), kind), pa.array(list(rep.values()), kind)], ["node", "rep"])
 
     kind = edge.schema["src"].dataType.simpleString()
-    return edge.select("src", "dst").repartition(1).mapInPandas(run, f"node {kind}, rep {kind}")
+    return edge.select("src", "dst").repartition(1).mapInArrow(run, f"node {kind}, rep {kind}")
 
 
 def nodes_of(edge: DataFrame) -> DataFrame:
