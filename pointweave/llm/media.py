@@ -203,9 +203,11 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     stored = written(both.where("size(parts) > 0 or size(pool) > 0"), "media-store", compression="zstd")
     own = stored.where("size(parts) > 0").drop("pool")
     pool = stored.select(F.explode("pool").alias("p")).select("p.digest", "p.data")
-    shared = F.coalesce(F.arrays_overlap("chunks", "repeated"), F.lit(False))  # of a repeated doc_id some rows may be, others not
-    of_id = repeats.select(F.col("doc_id").alias("_d"), "repeated")
-    manifest = manifest.join(of_id, F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "n_bytes", "payload_bytes", "sha", "chunks", shared.alias("shared"))
+    # only documents that may share a chunk are joined, once: of a repeated doc_id some rows may share one, others not
+    may = may_share(F.xxhash64("doc_id"))
+    joined = manifest.where(may).join(repeats.select(F.col("doc_id").alias("_d"), "repeated").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    marked = joined.withColumn("shared", F.coalesce(F.arrays_overlap("chunks", "repeated"), F.lit(False))).drop("_d", "repeated")
+    manifest = written(marked.unionByName(manifest.where(~may).withColumn("shared", F.lit(False))), "media-marked")
     return manifest, own, pool
 
 
