@@ -72,3 +72,16 @@ def test_long_chains_take_no_more_jobs(spark, monkeypatch):
         made = pointsto.build(calls_of_calls(spark, chain))
         assert ("V%d" % (5000 + chain), "H4") in {(r.node, r.heap) for r in made.pts.collect()}
     assert wrote.index(None) == 0 and len(wrote) == 2 * wrote.index(None, 1)
+
+
+def test_rounds_without_new_functions_read_no_body(spark, monkeypatch):
+    """Bodies are read when functions are reached: at the start, and when calls are bound to functions not reached before."""
+    read, body = [], pointsto.rules.body_edges
+    monkeypatch.setattr(pointsto.rules, "body_edges", lambda instr, reach: read.append(1) or body(instr, reach))
+    program = calls_of_calls(spark)
+    made = pointsto.build(program)
+    assert len(read) == 3  # of 10, then of what is called, in two rounds; the last rounds bind calls of known functions
+    read.clear()
+    program.entries = program.functions.select("fn_id")
+    assert all_of(pointsto.build(program)) == all_of(made)
+    assert len(read) == 1
