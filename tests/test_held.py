@@ -85,3 +85,49 @@ def test_rounds_without_new_functions_read_no_body(spark, monkeypatch):
     program.entries = program.functions.select("fn_id")
     assert all_of(pointsto.build(program)) == all_of(made)
     assert len(read) == 1
+
+
+def calls_in_turn(spark, deep):
+    """Each call's receiver is what the call before it returned, so what calls lead to is found one after the other."""
+    f = lambda rows, s: spark.createDataFrame(rows, s)
+    functions, instr = [(10, 999, True, 10)], [(1, 10, "alloc", 1000, None, None, 0, None, None)]
+    for i in range(deep):
+        functions.append((100 + i, i, False, 1))
+        instr += [(10 * i + 2, 10, "vcall", 1001 + i, 1000 + i, None, None, 1, []), (10 * i + 3, 100 + i, "alloc", 5000 + i, None, None, i + 1, None, None)]
+        instr.append((10 * i + 4, 100 + i, "return", None, 5000 + i, None, None, None, None))
+    classes, params = [(i, None) for i in (*range(deep + 1), 999)], [(100 + i, 0, 7000 + i) for i in range(deep)]
+    return Program(f(classes, schema.CLASS), f(functions, schema.FUNCTION), f(params, schema.PARAM), f(instr, schema.INSTR), f([(fn,) for fn, *_ in functions], schema.ENTRY))
+
+
+def test_calls_in_turn_take_two_rounds(spark, monkeypatch):
+    """Calls of functions that are reached already open where their kinds are followed."""
+    rounds, along = [], pointsto._Kinds.along
+    monkeypatch.setattr(pointsto._Kinds, "along", lambda self, *given: rounds.append(1) or along(self, *given))
+    made = all_of(pointsto.build(calls_in_turn(spark, 6)))
+    assert made[0] == {(10 * i + 2, 100 + i) for i in range(6)}
+    assert len(rounds) == 2
+
+
+def random_program(spark, seed, methods=70):
+    """Each class has a method of its own, so there are more kinds than a word has bits."""
+    rng, f = random.Random(seed), lambda rows, s: spark.createDataFrame(rows, s)
+    functions = [(i, i, False, i % 3) for i in range(1, methods + 1)] + [(100 + i, 999, True, 100 + i) for i in range(6)]
+    params = [(fn, pos, fn * 100 + pos) for fn, *_ in functions for pos in range(rng.randrange(4))]
+    instr = []
+    for fn, *_ in functions:
+        var = lambda fn=fn: fn * 100 + rng.randrange(6)
+        for kind in (*("alloc",) * (2 if fn < 100 else 9), "assign", "assign", "store", "load", "vcall", "vcall", "vcall", "scall", "return", "return"):
+            target = None if kind == "return" or (kind in ("vcall", "scall") and rng.random() < 0.3) else var()
+            method = rng.randrange(3) if kind == "vcall" else 100 + rng.randrange(8) if kind == "scall" else None
+            args = [var() for _ in range(rng.randrange(3))] if kind in ("vcall", "scall") else None
+            instr.append((len(instr), fn, kind, target, None if kind in ("alloc", "scall") else var(), rng.randrange(2) if kind in ("store", "load") else None, 1 + rng.randrange(methods) if kind == "alloc" else None, method, args))
+    classes = [(i, i // 2 or None) for i in range(1, methods + 1)] + [(999, None)]
+    return Program(f(classes, schema.CLASS), f(functions, schema.FUNCTION), f(params, schema.PARAM), f(instr, schema.INSTR), f([(fn,) for fn, *_ in functions if fn % 3 == 1], schema.ENTRY))
+
+
+def test_calls_that_open_are_those_of_rounds(spark, monkeypatch):
+    program = random_program(spark, 1)
+    whole = all_of(pointsto.build(program, CallString(1)))
+    assert len(whole[0]) > 100
+    monkeypatch.setattr(held, "MOST_EDGES", 0)
+    assert all_of(pointsto.build(program, CallString(1))) == whole
