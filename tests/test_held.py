@@ -6,7 +6,7 @@ import numpy as np
 
 from pointweave import schema, storage
 from pointweave.functions.context import CallString
-from pointweave.operators import held
+from pointweave.operators import changes, held, hierarchy
 from pointweave.plans import pointsto
 from pointweave.program import Program
 
@@ -131,3 +131,13 @@ def test_calls_that_open_are_those_of_rounds(spark, monkeypatch):
     assert len(whole[0]) > 100
     monkeypatch.setattr(held, "MOST_EDGES", 0)
     assert all_of(pointsto.build(program, CallString(1))) == whole
+
+
+def test_edges_of_statements_resolve_no_methods_again(spark, monkeypatch):
+    seen, ancestors = [], hierarchy.ancestors
+    monkeypatch.setattr(hierarchy, "ancestors", lambda classes: seen.append(1) or ancestors(classes))
+    program = calls_of_calls(spark)
+    made = pointsto.build(program)
+    found = changes.affected_edges(program, made, program.instr.where("kind = 'assign'")).collect()
+    assert {tuple(r) for r in found} == {(8, "V102", "V5000"), (9, "V103", "V100")}
+    assert len(seen) == 1
