@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from pointweave import schema, storage
+from pointweave import catalog, schema, storage
 from pointweave.functions.context import CallString
 from pointweave.operators import changes, held, hierarchy
 from pointweave.plans import pointsto
@@ -141,3 +141,25 @@ def test_edges_of_statements_resolve_no_methods_again(spark, monkeypatch):
     found = changes.affected_edges(program, made, program.instr.where("kind = 'assign'")).collect()
     assert {tuple(r) for r in found} == {(8, "V102", "V5000"), (9, "V103", "V100")}
     assert len(seen) == 1
+
+
+def test_edges_of_kinds_are_those_of_the_graph(spark):
+    """Functions that are reached over virtual calls alone, or not at all, need the analysis; so do variables of theirs."""
+    program = random_program(spark, 2, 4)
+    more = spark.createDataFrame([(900, 4000, "assign", 101, 102, None, None, None, None), (901, 4000, "assign", 4001, 4002, None, None, None, None), (902, 1, "assign", None, 102, None, None, None, None)], schema.INSTR)
+    program.instr = storage.written(program.instr.unionByName(more), "instr")
+    made = pointsto.build(program)
+    for kind in ("assign", "scall", "vcall"):
+        asked, want = [], changes.affected_edges(program, made, program.instr.where(f"kind = '{kind}'"))
+        found = changes.edges_of_kind(program, kind, lambda: asked.append(1) or made)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+        assert asked == [1]
+
+
+def test_edges_of_entries_need_no_analysis(spark, monkeypatch):
+    """Where all functions are entries, or reached over static calls, virtual calls need not be bound."""
+    program = calls_of_calls(spark)
+    monkeypatch.setitem(catalog._program.__globals__, "_program", lambda *_: program)
+    monkeypatch.setattr(pointsto, "build", None)
+    found = catalog.QUERIES["affected_edges_assign"](spark, "")
+    assert {tuple(r) for r in found.collect()} == {(8, "V102", "V5000"), (9, "V103", "V100")}
